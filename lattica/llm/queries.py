@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lattica.llm import oracles
 from lattica.llm.common import table
 from lattica.llm.decontamination import decontaminate
+from lattica.llm.packing import pack
+from lattica.llm.token_counts import token_counts
 from lattica.llm.url_rules import STANDARD, judge_urls, rule_table
 
 
@@ -17,6 +19,17 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rule_table(spark, STANDARD)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections are the lines of the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, ["text"], drop_fields=True).select("doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens", "section_starts")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate(docs, table(spark, sf_dir, "benchmark"), drop_text=True)
@@ -26,6 +39,8 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_url_filters": op3_url_filters,
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_token_counts": op6_token_counts,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
     }
 
