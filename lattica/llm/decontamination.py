@@ -32,7 +32,8 @@ WIDTH = 13
 SHARE = 20
 #: Benchmark text that one automaton may hold; about 15 times as much memory.
 MAX_PATTERN_BYTES = 8 << 20
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word before A-Z are lower-cased.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 INTERVALS = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))
 ADDED = [
