@@ -5,15 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lattica.llm import oracles
 from lattica.llm.common import table
 from lattica.llm.decontamination import decontaminate
 from lattica.llm.packing import pack
+from lattica.llm.quality_rules import apply_rules
+from lattica.llm.site_quality import classify
 from lattica.llm.token_counts import token_counts
 from lattica.llm.url_rules import STANDARD, judge_urls, rule_table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's host is its source, its path there the section of its language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    out = classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), drop_text=True)
+    return out.select("doc_id", "host", "path", "p_document", "p_host", "p_path", "p_quality", "kept")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, rule_table(spark, STANDARD)).select("page_id", "host", "path", "rule", "verdict")
@@ -36,12 +46,19 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op3_url_filters": op3_url_filters,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_token_counts": op6_token_counts,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
