@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lattica.llm import oracles
 from lattica.llm.common import table
 from lattica.llm.decontamination import decontaminate
+from lattica.llm.jaccard_join import near_duplicates
 from lattica.llm.packing import pack
 from lattica.llm.quality_rules import apply_rules
 from lattica.llm.site_quality import classify
@@ -29,6 +30,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rule_table(spark, STANDARD)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op3_url_filters": op3_url_filters,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_token_counts": op6_token_counts,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
