@@ -16,6 +16,17 @@ WITH rules(rule_host, rule_path, verdict) AS (
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM parts p LEFT JOIN fits f ON f.n = p.n AND f.k = 1
 """
 
+OP7 = r"""
+WITH r AS (
+  SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || coalesce(CAST(page_id AS VARCHAR), 'null')
+    || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || replace(replace(coalesce(url, ''), chr(13), ''), chr(10), '') || chr(13) || chr(10) || 'Content-Type: text/html'
+    || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
+    || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages
+)
+SELECT page_id, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256,
+       CASE WHEN starts_with(sha256(coalesce(CAST(page_id AS VARCHAR), '')), '00') THEN 'corrupt' ELSE 'intact' END AS status FROM r
+"""
+
 OP8 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS n, doc_id,
@@ -55,5 +66,6 @@ FROM d LEFT JOIN classes c ON c.x = d.doc_id LEFT JOIN degrees g ON g.x = d.doc_
 SQL = {
     "op4_ngram_jaccard_join": OP4,
     "op3_url_filters": OP3,
+    "op7_warc_fixity": OP7,
     "op8_benchmark_decontamination": OP8,
 }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import oracles
-from lattica.llm.common import table
+from lattica.llm.common import durable, shared_folder, table
 from lattica.llm.decontamination import decontaminate
 from lattica.llm.jaccard_join import near_duplicates
 from lattica.llm.packing import pack
@@ -16,6 +17,7 @@ from lattica.llm.quality_rules import apply_rules
 from lattica.llm.site_quality import classify
 from lattica.llm.token_counts import token_counts
 from lattica.llm.url_rules import STANDARD, judge_urls, rule_table
+from lattica.llm.warc import audit, read_warc, record, write_warc
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +47,28 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, ["text"], drop_fields=True).select("doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens", "section_starts")
 
 
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as two WARC replicas; in the second, one in 256 records, by the digest of its id, has a changed byte.
+
+    The audit has to find these records, and no others. Every record is returned with the digest of its bytes in the
+    first replica.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    own = record(F.col("page_id"), F.col("url"), F.col("html"))
+    chosen = F.sha2(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 256).startswith("00")
+    # The last byte of the header's type, so that lengths stay as they are.
+    damaged = F.when(chosen, F.replace(own, F.lit("Content-Type: text/html"), F.lit("Content-Type: text/htmm"))).otherwise(own)
+    base = f"{shared_folder(spark).rstrip('/')}/lattica-warc-{uuid.uuid4().hex}"
+    replicas = []
+    for name, column in (("ours", own), ("theirs", damaged)):
+        write_warc(pages.select(column.alias("record")), "record", f"{base}/{name}")
+        replicas.append(durable(read_warc(spark, f"{base}/{name}"), f"leaves-{name}"))
+    found = audit(*replicas)
+    page = F.expr("try_cast(replace(record_id, 'urn:record:', '') AS bigint)")
+    out = replicas[0].join(found, ["file", "seq"], "left")
+    return out.select(page.alias("page_id"), "length", F.col("digest").alias("sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate(docs, table(spark, sf_dir, "benchmark"), drop_text=True)
@@ -63,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_token_counts": op6_token_counts,
+        "op7_warc_fixity": op7_warc_fixity,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op10_quality_rules": op10_quality_rules,
     }
