@@ -20,6 +20,12 @@ STYLE = ["n_lines", "n_upper", "n_stops", "n_bangs", "n_bars", "n_single", "n_ad
 WORK = ["_t", "_w", "_h", "_g", "_s", "_c", "_x", "_p"]
 
 
+def settled(column: Column) -> Column:
+    """The same value, computed once for each row: Spark moves a filter below a projection by copying the expressions that it
+    needs, which for nested array functions multiplies them, but never below one that is not deterministic."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def occurrences(text: Column, characters: str) -> Column:
     """How many of the text's characters are among these."""
     return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")

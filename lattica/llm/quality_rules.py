@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import durable
-from lattica.llm.features import COUNTS, STYLE, with_counts
+from lattica.llm.features import COUNTS, STYLE, settled, with_counts
 
 ROUNDS = 40
 #: Votes that each rule is taken to have cast beforehand in each class, as shares of all documents: agreeing with the
@@ -112,7 +112,7 @@ def apply_rules(docs: DataFrame, text_col: str = "text", rules: dict[str, Column
     """
     rules = rules or standard_rules()
     docs = docs.drop(*OUT, *STYLE, "_votes")
-    counted = with_counts(docs, text_col).withColumn("_votes", F.array(*rules.values()))
+    counted = with_counts(docs, text_col).withColumn("_votes", settled(F.array(*rules.values())))
     if drop_text:
         counted = durable(counted.drop(text_col), "rule-counts")
     patterns = counted.groupBy(F.col("_votes").alias("v")).agg(F.count("*").alias("n"))

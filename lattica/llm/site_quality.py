@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import durable
-from lattica.llm.features import COUNTS, STYLE, with_counts
+from lattica.llm.features import COUNTS, STYLE, settled, with_counts
 
 MAX_LABELS = 20_000
 THRESHOLD = 0.5
@@ -106,7 +106,7 @@ def scored(docs: DataFrame, text_col: str, host: Column, path: Column, model: tu
         for w, c in zip(model[0], form().values(), strict=True):
             odds = odds + F.lit(w) * c
         odds = F.greatest(F.least(odds, F.lit(MAX_ODDS)), F.lit(-MAX_ODDS))
-    df = df.withColumn("p_document", 1 / (1 + F.exp(-odds)))
+    df = df.withColumn("p_document", settled(1 / (1 + F.exp(-odds))))
     return df.drop(*COUNTS, *STYLE).withColumnsRenamed({"_host": "host", "_path": "path"})
 
 
