@@ -14,6 +14,7 @@ from lattica.llm.decontamination import decontaminate
 from lattica.llm.jaccard_join import near_duplicates
 from lattica.llm.packing import pack
 from lattica.llm.quality_rules import apply_rules
+from lattica.llm.quotation import link_quotations
 from lattica.llm.site_quality import classify
 from lattica.llm.token_counts import token_counts
 from lattica.llm.url_rules import STANDARD, judge_urls, rule_table
@@ -75,6 +76,11 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = link_quotations(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "role", "own_text", "max_level", "n_passages", "n_quoted_lines", "n_linked_lines", "parent_turn", "branch_depth", "reply_path")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
@@ -89,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": op6_token_counts,
         "op7_warc_fixity": op7_warc_fixity,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
+        "op9_chat_formatting": op9_chat_formatting,
         "op10_quality_rules": op10_quality_rules,
     }
 
