@@ -59,13 +59,16 @@ def repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", covered)
 
 
-def with_counts(docs: DataFrame, text_col: str, style: bool = True) -> DataFrame:
-    """``docs`` with COUNTS and, with ``style``, STYLE; columns of these names are replaced. A null text counts as empty."""
+def with_counts(docs: DataFrame, text_col: str, style: bool = True, repeats: bool = True) -> DataFrame:
+    """``docs`` with COUNTS and, with ``style``, STYLE; columns of these names are replaced. A null text counts as empty.
+
+    Without ``repeats`` n_repeat_words, which costs more than all others, is left out.
+    """
     docs = docs.drop(*COUNTS, *STYLE, *WORK)
     df = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
     df = df.withColumn("_w", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
     df = df.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
-    df = repeat_words(df)
+    df = repeat_words(df) if repeats else df
     text, words = F.col("_t"), F.col("_w")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
     df = df.withColumns({"_x": lines}).withColumns({

@@ -54,10 +54,9 @@ def form() -> dict[str, Column]:
         "single": of_words("n_single"),
         "adjacent": of_words("n_adjacent"),
         "distinct": of_words("n_distinct"),
-        "repeated": of_words("n_repeat_words"),
         "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
     }
-    steep = {f"{k}_root": F.sqrt(made[k]) for k in ("symbols", "has_bars", "bangs", "adjacent", "repeated")}
+    steep = {f"{k}_root": F.sqrt(made[k]) for k in ("symbols", "has_bars", "bangs", "adjacent")}
     return made | steep
 
 
@@ -86,7 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         labels = labels.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * max_labels / n))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     joined = texts.join(F.broadcast(labels), "_id")  # at most about max_labels rows of two numbers
-    rows = with_counts(joined, "_text").select("_y", *(c.alias(k) for k, c in form().items())).collect()
+    rows = with_counts(joined, "_text", repeats=False).select("_y", *(c.alias(k) for k, c in form().items())).collect()
     if len({r["_y"] for r in rows}) < 2:
         return None
     data = np.array([list(r) for r in rows], float)
@@ -101,7 +100,7 @@ def scored(docs: DataFrame, text_col: str, host: Column, path: Column, model: tu
     if model is None:
         odds = F.lit(0.0)
     else:
-        df = with_counts(df, text_col)
+        df = with_counts(df, text_col, repeats=False)
         odds = F.lit(model[1])
         for w, c in zip(model[0], form().values(), strict=True):
             odds = odds + F.lit(w) * c
