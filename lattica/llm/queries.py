@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lattica.llm import oracles
 from lattica.llm.common import durable, shared_folder, table
 from lattica.llm.decontamination import decontaminate
+from lattica.llm.html_text import extract_text
 from lattica.llm.jaccard_join import near_duplicates
 from lattica.llm.packing import pack
 from lattica.llm.quality_rules import apply_rules
@@ -28,6 +29,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "host", "path", "p_document", "p_host", "p_path", "p_quality", "kept")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", "n_chars")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, rule_table(spark, STANDARD)).select("page_id", "host", "path", "rule", "verdict")
@@ -89,6 +95,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_html_extraction": op2_html_extraction,
         "op3_url_filters": op3_url_filters,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_best_fit_packing": op5_best_fit_packing,
