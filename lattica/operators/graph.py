@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lattica.functions.predicates import on_date
+from lattica.sources.durable import durable
+
 MAX_HOPS = 3
 #: Longest chain of merges that flattening follows is 2 ** CHAIN_ROUNDS.
 CHAIN_ROUNDS = 6
@@ -58,8 +61,6 @@ def relationships_to(claims: DataFrame, entities: DataFrame, seed: str, max_hops
 
 def who_was_at(experiences: DataFrame, mentions: DataFrame, entities: DataFrame, experience_id: int | None = None, day: Column | None = None) -> DataFrame:
     """Entities of one experience, or of one date (each once, with its smallest field); merges are not followed."""
-    from lattica.functions.predicates import on_date
-
     if (experience_id is None) == (day is None):
         raise ValueError("give an experience or a day")
     chosen = experiences.where(F.col("id") == experience_id if day is None else on_date(day)).select(F.col("id").alias("experience_id"), "occurred_at")
@@ -83,9 +84,14 @@ def split_candidates(claims: DataFrame, entities: DataFrame, min_degree: int = 5
 def flatten_chains(entities: DataFrame) -> DataFrame:
     """(id, terminal, hops) of every merged entity by pointer jumping; those on a cycle have a null terminal."""
     links = entities.where(F.col("merged_into").isNotNull()).select("id", F.col("merged_into").alias("to"), F.lit(1).cast("long").alias("hops"))
+    links = durable(links, "chains")
     for _ in range(CHAIN_ROUNDS):
         after = links.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"))
-        links = links.join(after, "to", "left").select("id", F.coalesce("next", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+        moved = links.join(after, "to", "left")
+        if not moved.where(F.col("next").isNotNull()).take(1):
+            break
+        # Written each time: otherwise the plan doubles with every round.
+        links = durable(moved.select("id", F.coalesce("next", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "chains")
     still = entities.where(F.col("merged_into").isNotNull()).select(F.col("id").alias("to"), F.lit(True).alias("cyclic"))
     return links.join(still, "to", "left").select("id", F.when(F.col("cyclic").isNull(), F.col("to")).alias("terminal"), "hops")
 

@@ -96,7 +96,7 @@ def test_split_candidates_count_a_claim_with_itself_once(spark):
 
 
 LABELLED = [
-    ("person", "Ada Lovelace", "person", "ada  lovelace", False), ("person", "Jonathan Smith", "person", "Jonathon Smith", True), ("person", "Karen Hill", "person", "Karen Bell", False),
+    ("person", "Ada Lovelace", "person", "ada  lovelace", False), ("person", "Jonathan Smith", "person", "Jonathon Smith", True), ("person", "Karen Hill", "person", "Karen Sommers", False),
     ("person", "Ada", "person", "Ada Lovelace", False), ("person", "John Smith", "person", "John Smith Jr", False), ("org", "Acme", "org", "acme", True), ("org", "Acme", "person", "Acme", False),
     ("concept", "C++", "concept", "C", False), ("person", "Unit 12 Lead", "person", "Unit 13 Lead", False), ("concept", "machine learning", "concept", "Machine  Learning", True),
 ]
@@ -137,11 +137,11 @@ def test_resolve_or_create(spark):
 
 def test_dedup_plan(spark):
     e = entities(
-        spark, ("1", "person", "Jonathan Smith", [], None), ("2", "person", "Jonathon Smith", ["J S"], None), ("3", "person", "Karen Hill", [], None), ("4", "person", "Karen Bell", [], None),
+        spark, ("1", "person", "Jonathan Smith", [], None), ("2", "person", "Jonathon Smith", ["J S"], None), ("3", "person", "Karen Hill", [], None), ("4", "person", "Karen Sommers", [], None),
         ("5", "concept", "graph db", [], None), ("6", "concept", "Graph DB", [], None), ("7", "concept", "graph-db", [], None),
     )
     got = {(r.a, r.b): (r.action, r.winner) for r in dedup.plan(e).collect()}
-    assert got[("1", "2")] == ("merge", "2") and ("3", "4") not in got
+    assert got[("1", "2")] == ("merge", "2") and got[("3", "4")][0] == "queue"
     assert got[("5", "6")] == ("merge", "5") and got[("5", "7")][0] == "queue"
     held = spark.createDataFrame([("6", "5")], "a string, b string")
     assert ("5", "6") not in {(r.a, r.b) for r in dedup.plan(e, held=held).collect()}
