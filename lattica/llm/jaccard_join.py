@@ -245,6 +245,23 @@ def verify(width: int, similarity: float) -> Callable[[pa.Table], pa.RecordBatch
     return work
 
 
+#: Bits of the filter of possible members, 64 in a row: at most 131,072 rows, 2 MB, whatever the corpus' size.
+FILTER_BITS = 23
+
+
+def possible(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose _id no member has, so that a join with the members moves few other texts.
+
+    A bitmap of hashes: members always pass; the more there are the more others do, too, which costs time only.
+    """
+    at = F.pmod(F.xxhash64("_id"), F.lit(1 << FILTER_BITS))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))
+    bits = members.select(at.alias("h")).groupBy(F.floor(F.col("h") / 64).alias("word")).agg(F.bit_or(bit(F.col("h"))).alias("bits"))
+    bits = durable(bits, "member-bits")
+    marked = rows.withColumn("h", at).withColumn("word", F.floor(F.col("h") / 64))
+    return marked.join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit(F.col("h"))) != 0).select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """For every row of ``docs``: id, class_id (the group's smallest id), n_links (other rows at ``similarity`` or more), group and fp (binary; null without words)."""
     rows = durable(sketched(docs, id_col, text_col, width), "sketches")
@@ -258,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = components(ties).select(F.col("node").alias("fp"), "root")
     members = durable(members.join(nodes.select("fp", "weight", "rep", "size"), "fp"), "members")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("nb"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    texts = possible(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")), members.select(F.col("rep").alias("_id")))
     found = texts.join(members.join(sizes, "root"), F.col("_id").eqNullSafe(F.col("rep")))
     dealt = blocks(found.select("fp", "text", "weight", "root", "nb", (F.col("nb") > 1).alias("blocked")), "nb", "fp", "root")
     links = durable(by_group(dealt, "key", LINK, verify(width, similarity)), "links")
