@@ -99,7 +99,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
             joined = expanded.join(F.broadcast(rules), meets, "left")
         else:
             expanded = expanded.withColumn("salt", F.pmod("_row", F.lit(SALTS)))
-            spread = rules.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("rule_salt"))
+            spread = rules.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("rule_salt"))
             joined = expanded.join(spread, meets & (F.col("salt") == F.col("rule_salt")), "left")
         found = joined.groupBy("_row").agg(F.max("found").alias("found"), F.first("_page").alias("_page"), F.first("host").alias("host"), F.first("path").alias("path"))
     return found.select(
