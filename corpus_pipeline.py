@@ -2,6 +2,8 @@
 
 The stages, in order: the quality classifier drops what it rejects; the quality rules drop what they reject; of each
 group of near duplicates one document stays; documents contaminated by the benchmark go; what is left is packed.
+
+A stage's input is written, so the first thing it does is to delete the intermediate tables of the stage before.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import durable, table
+from lattica.llm.common import durable, forget, table
 from lattica.llm.decontamination import decontaminate
 from lattica.llm.jaccard_join import first_of_groups
 from lattica.llm.packing import pack
@@ -24,18 +26,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    forget(spark)
     return apply_rules(docs).where("kept").select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    forget(spark)
     return first_of_groups(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    forget(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    forget(spark)
     return pack(docs, keep_ids=False)
 
 
@@ -57,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = durable(docs, name.replace(" ", "-"))
+            docs = durable(docs, name.replace(" ", "-"), keep=True)
     return docs

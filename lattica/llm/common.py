@@ -31,19 +31,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+#: Intermediate tables that are still there.
+_written: list[str] = []
+
+
+def durable(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives the loss of executors.
 
-    The files go when the application ends.
+    The files go when the application ends, or with ``forget`` unless ``keep``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/lattica-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    if not keep:
+        _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete the intermediate tables of queries whose results are written."""
+    while _written:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -107,14 +107,13 @@ def log_ratio(votes: Column, model: tuple[float, list[float]], n_rules: int) ->
 def apply_rules(docs: DataFrame, text_col: str = "text", rules: dict[str, Column] | None = None, threshold: float = THRESHOLD, rounds: int = ROUNDS, drop_text: bool = False) -> DataFrame:
     """``docs`` with the counts, base_failed, p_good and kept.
 
-    With ``drop_text`` the counts are written once to the shared folder; otherwise the second pass over the texts
-    counts again, which is cheaper than writing or moving them.
+    The counts are written once to the shared folder, with the rows unless ``drop_text``: counting again for the second
+    pass would take several times as long.
     """
     rules = rules or standard_rules()
     docs = docs.drop(*OUT, *STYLE, "_votes")
     counted = with_counts(docs, text_col).withColumn("_votes", settled(F.array(*rules.values())))
-    if drop_text:
-        counted = durable(counted.drop(text_col), "rule-counts")
+    counted = durable(counted.drop(text_col) if drop_text else counted, "rule-counts")
     patterns = counted.groupBy(F.col("_votes").alias("v")).agg(F.count("*").alias("n"))
     model = fit(patterns, len(rules), rounds)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))

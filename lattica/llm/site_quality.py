@@ -125,12 +125,10 @@ def strength(share: float, rows: DataFrame, parent: Column) -> float:
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = MAX_LABELS, threshold: float = THRESHOLD, drop_text: bool = False) -> DataFrame:
     """``docs`` with host, path, p_document, p_host, p_path, p_quality and kept; columns of these names are replaced.
 
-    With ``drop_text`` the documents' own scores are written once to the shared folder; otherwise the second pass
-    over the texts scores again.
+    The documents' own scores are written once to the shared folder, with the rows unless ``drop_text``.
     """
     own = scored(docs, text_col, host, path, train(docs, labels, id_col, text_col, label_col, max_labels))
-    if drop_text:
-        own = durable(own.drop(text_col), "document-scores")
+    own = durable(own.drop(text_col) if drop_text else own, "document-scores")
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731 # a null is a site, too
     own = own.withColumns({"_h": key("host"), "_p": key("path")})
     paths = durable(own.groupBy("_h", "_p").agg(F.count("*").alias("n"), F.sum("p_document").alias("s")), "paths")
