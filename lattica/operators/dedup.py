@@ -18,6 +18,8 @@ from lattica.sources.durable import durable
 
 #: Of blocking and of the queue.
 MIN_TOKEN, PERMUTATIONS, BANDS, SHINGLE, MODULUS, SEED, QUEUE_CAP = 3, 64, 32, 3, (1 << 61) - 1, 0xB0A17, 5
+#: Into so many parts a block is dealt when all of its pairs are made.
+SLICES = 16
 
 
 def named(entities: DataFrame) -> DataFrame:
@@ -60,7 +62,10 @@ def band_udf(forms: pd.Series) -> pd.Series:
 
 
 def minhash_keys(rows: DataFrame) -> DataFrame:
-    return rows.select("id", "kind", F.explode(band_udf("forms")).alias("b")).select("id", F.concat_ws("|", F.lit("m"), "kind", "b").alias("key"))
+    """The bands are made once for each distinct form, then given to its members."""
+    members = rows.select("id", "kind", F.explode("forms").alias("form"))
+    bands = members.select("form").distinct().select("form", F.explode(band_udf(F.array("form"))).alias("b"))
+    return members.join(bands, "form").select("id", F.concat_ws("|", F.lit("m"), "kind", "b").alias("key")).distinct()
 
 
 def candidate_pairs(keys: DataFrame) -> DataFrame:
@@ -69,6 +74,78 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
     return left.join(right, "key").where(F.col("a") < F.col("b")).select("a", "b").distinct()
 
 
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(id, key) of the keys that more than one row has."""
+    return keys.join(keys.groupBy("key").agg(F.countDistinct("id").alias("n")).where("n > 1").select("key"), "key", "left_semi").select("id", "key").distinct()
+
+
+def blocks(keys: DataFrame) -> DataFrame:
+    """key, id and the block's size: the candidate pairs are the pairs of ids within a block, so a hot key stays linear."""
+    size = keys.distinct().groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return keys.distinct().join(size, "key").select("key", "id", "size")
+
+
+def spread_pairs(keys: DataFrame) -> DataFrame:
+    """``candidate_pairs`` without a distinct over pairs: each is made at its first shared key, and hot keys are dealt out."""
+    lists = shared_keys(keys).groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    each = lists.select("id", "keys", F.explode("keys").alias("key"))
+    left = each.select(F.col("id").alias("a"), F.col("keys").alias("ka"), "key", F.pmod(F.xxhash64("id"), F.lit(SLICES)).alias("s"))
+    right = each.select(F.col("id").alias("b"), F.col("keys").alias("kb"), "key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))).alias("s"))
+    met = left.join(right, ["key", "s"]).where(F.col("a") < F.col("b"))
+    return met.where(F.array_min(F.array_intersect("ka", "kb")) == F.col("key")).select("a", "b")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def reason_udf(forms: pd.Series) -> pd.Series:
+    """What a person's forms can score by: c, comparable forms; 1, a bare given name; 2, a word of a longer name."""
+
+    def keys(each: Iterable[str]) -> list[str]:
+        out = set()
+        for form in map(N.Form.of, each):
+            if len(form.core) >= 2:
+                out.add(f"c|{len(form.core)}|{form.suffix or ''}|{' '.join(sorted(form.numbers))}")
+            out.update(f"{min(len(form.tokens), 2)}|{t}" for t in form.tokens)
+        return sorted(out)
+
+    return forms.map(keys)
+
+
+def ordered(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    met = a.select(F.col("id").alias("a"), *on).join(b.select(F.col("id").alias("b"), *on), on).where(F.col("a") != F.col("b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def judged_pairs(keys: DataFrame, rows: DataFrame, minhash: bool, flat: bool) -> DataFrame:
+    """The candidate pairs that ``plan`` can act on, made from what a score needs instead of from all pairs of a block.
+
+    A score needs a shared form or, between persons, comparable forms or a given name within a longer name. Persons that
+    share a form and nothing else all score 0 if ``flat``; a group of them that meets no other pair is reduced to runs of
+    ``QUEUE_CAP + 1`` ids, which is what the greedy cap keeps of it.
+    """
+    reasons = rows.where("kind = 'person'").select("id", F.explode(reason_udf("forms")).alias("r"))
+    at = lambda k: reasons.where(F.col("r").startswith(k)).select("id", F.substring("r", 3, 1 << 20).alias("r"))
+    full, short, long = at("c"), at("1"), at("2")
+    full = full.join(full.groupBy("r").count().where("count > 1"), "r", "left_semi").join(keys, "id")
+    short, long = short.join(long.select("r").distinct(), "r", "left_semi").join(keys, "id"), long.join(short.select("r").distinct(), "r", "left_semi").join(keys, "id")
+    forms = rows.select("id", "kind", F.explode("forms").alias("form"))
+    forms = forms.join(forms.groupBy("kind", "form").agg(F.count("*").alias("n")).where("n > 1"), ["kind", "form"])
+    on = ["kind", "form"]
+    if not minhash:  # with it, a shared form is a shared band
+        forms, on = forms.join(keys, "id"), ["kind", "form", "key"]
+    easy = minhash and flat
+    other = forms.where("kind != 'person'") if easy else forms
+    pairs = ordered(full, full, ["r", "key"]).union(ordered(short, long, ["r", "key"])).union(ordered(other, other, on)).distinct()
+    if easy:
+        pairs, people = durable(pairs, "pairs"), forms.where("kind = 'person'")
+        busy = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(people.groupBy("id").count().where("count > 1").select("id")).distinct()
+        mixed = people.join(busy, "id", "left_semi").select("form").distinct()
+        mixed, alone = people.join(mixed, "form", "left_semi"), people.join(mixed, "form", "left_anti")
+        run = F.floor((F.row_number().over(W.partitionBy("form").orderBy("id")) - 1) / (QUEUE_CAP + 1))
+        runs = alone.withColumn("run", run)
+        pairs = pairs.union(ordered(mixed, mixed, on)).union(ordered(runs, runs, [*on, "run"])).distinct()
+    return durable(pairs, "pairs")
+
+
 def scored_pairs(pairs: DataFrame, rows: DataFrame, scorer: str = "default") -> DataFrame:
     score = N.scorer_udf(N.match_probability if scorer == "fs" else N.match_score)
     left = rows.select(F.col("id").alias("a"), F.col("kind").alias("ka"), F.col("name").alias("na"), F.col("aliases").alias("xa"), F.col("forms").alias("fa"))
@@ -123,7 +200,7 @@ def plan(entities: DataFrame, scorer: str = "default", minhash: bool = True, hel
     rows = named(entities)
     keys = token_keys(rows).union(minhash_keys(rows)) if minhash else token_keys(rows)
     auto, low = (N.FS_AUTO, N.FS_QUEUE) if scorer == "fs" else (N.AUTO_MERGE, N.DISAMBIGUATE)
-    scored = scored_pairs(candidate_pairs(keys), rows, scorer)
+    scored = scored_pairs(judged_pairs(keys.distinct(), rows, minhash, scorer == "default"), rows, scorer)
     same_person = (F.col("ka") == "person") & (F.col("kb") == "person") & F.arrays_overlap("fa", "fb")
     weight = lambda x, n: F.struct(F.size(x), F.length(n))
     left_wins = (weight("xa", "na") > weight("xb", "nb")) | ((weight("xa", "na") == weight("xb", "nb")) & (F.col("a") < F.col("b")))

@@ -236,11 +236,21 @@ def token_blocking_pairs(m: Memory) -> DataFrame:
     return dedup.candidate_pairs(dedup.token_keys(dedup.named(entities(m).where("kind = 'concept' AND length(id) <= 3"))))
 
 
+def token_blocks(m: Memory) -> DataFrame:
+    """Token blocking over all unmerged entities: each block with its members, which stand for its pairs."""
+    return dedup.blocks(dedup.token_keys(dedup.named(entities(m))))
+
+
 def exact_dup_merge_plan(m: Memory) -> DataFrame:
     out = dedup.plan(entities(m).where("kind = 'concept' AND length(id) <= 3"), minhash=False)
     return out.where("action = 'merge'").select("loser", "winner", "score")
 
 
+def dedup_plan(m: Memory) -> DataFrame:
+    """The operator's default plan, merges and queue, over all unmerged entities."""
+    return dedup.plan(entities(m)).select("action", "loser", "winner", "score")
+
+
 def minhash_blocking_pairs(m: Memory) -> DataFrame:
     return dedup.candidate_pairs(dedup.minhash_keys(dedup.named(entities(m).where("kind = 'org'"))))
 
@@ -277,8 +287,9 @@ def jaro_winkler_pairs(m: Memory) -> DataFrame:
 
 
 def fs_match_probability(m: Memory) -> DataFrame:
-    rows = dedup.named(entities(m).where("kind = 'concept' AND length(id) <= 3"))
-    return dedup.scored_pairs(dedup.candidate_pairs(dedup.token_keys(rows)), rows, "fs").select("a", "b", F.round("score", 6).alias("score"))
+    """Every candidate pair of all unmerged entities, so quadratic in the persons: the word of all their names pairs them."""
+    rows = dedup.named(entities(m))
+    return dedup.scored_pairs(dedup.spread_pairs(dedup.token_keys(rows)), rows, "fs").select("a", "b", F.round("score", 6).alias("score"))
 
 
 def id_set_intersection(m: Memory) -> DataFrame:
@@ -331,7 +342,7 @@ MADE: list[Callable[[Memory], DataFrame]] = [
     hybrid_rrf_topk, vector_topk, vector_batch_topk, legacy_threshold_search, list_filtered, recent_feed, day_buckets, recall_window, who_was_at_date, who_was_at_experience, entity_timeline,
     entity_mention_counts, recently_active, summary_counts, top_entities, top_topics, type_histogram, pending_review_counts, low_confidence_queue, contradictions, split_candidates,
     impact_gate_deferred, provenance_block, salience_decay, salience_from_windows, relationships_2hop, relationships_3hop, survivor_flatten, mention_ids_by_name, bbox_contiguous,
-    bbox_antimeridian, activity_typed, orphan_claims, claim_binding_index, token_blocking_pairs, exact_dup_merge_plan, minhash_blocking_pairs, contested_entities, held_pairs,
+    bbox_antimeridian, activity_typed, orphan_claims, claim_binding_index, token_blocking_pairs, token_blocks, exact_dup_merge_plan, dedup_plan, minhash_blocking_pairs, contested_entities, held_pairs,
     trigram_similarity_topk, resolve_batch_topk, resolve_entity_ranked, jaro_winkler_pairs, fs_match_probability, id_set_intersection, orphan_keys_anti, retry_eligibility, retry_pick,
     edit_decision, excerpt_snippet, claim_source_counts, top_people_first_seen, person_topic_search,
 ]
