@@ -98,6 +98,12 @@ def vector_batch_topk(m: Memory) -> DataFrame:
     return search.vector_batch(m.experiences, queries, 5).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def vector_batch_fiftieth(m: Memory) -> DataFrame:
+    """As many queries as the table gives: every row whose id is divisible by 50."""
+    queries = m.spark.table("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.vector_batch(m.experiences, queries, 5).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def legacy_threshold_search(m: Memory) -> DataFrame:
     return search.by_similarity(m.experiences, vector(m), 0.1, 50).select("id", F.round("similarity", 6).alias("similarity"))
 
@@ -274,6 +280,12 @@ def resolve_batch_topk(m: Memory) -> DataFrame:
     return resolve.resolve_batch(names, entities(m)).select("query_id", "entity_id", F.round(F.col("trgm_score").cast("double"), 5).alias("trgm_score"), F.col("rank").cast("long").alias("rank"))
 
 
+def resolve_batch_fiftieth(m: Memory) -> DataFrame:
+    """The names of the entities of every kind whose number is divisible by 50."""
+    asked = m.entities.where("CAST(substr(id, 2) AS BIGINT) % 50 = 0").select(F.col("id").alias("query_id"), "kind", F.col("canonical_name").alias("name"))
+    return resolve.resolve_batch(asked, entities(m)).select("query_id", "entity_id", F.round(F.col("trgm_score").cast("double"), 5).alias("trgm_score"), F.col("rank").cast("long").alias("rank"))
+
+
 def resolve_entity_ranked(m: Memory) -> DataFrame:
     name = m.spark.table("part").where("p_partkey = 2").select("p_name").first()[0]
     return resolve.resolve_entity(entities(m), name, "concept").withColumns(r6("trgm_score", "fused_score"))
@@ -339,11 +351,11 @@ def person_topic_search(m: Memory) -> DataFrame:
 
 
 MADE: list[Callable[[Memory], DataFrame]] = [
-    hybrid_rrf_topk, vector_topk, vector_batch_topk, legacy_threshold_search, list_filtered, recent_feed, day_buckets, recall_window, who_was_at_date, who_was_at_experience, entity_timeline,
+    hybrid_rrf_topk, vector_topk, vector_batch_topk, vector_batch_fiftieth, legacy_threshold_search, list_filtered, recent_feed, day_buckets, recall_window, who_was_at_date, who_was_at_experience, entity_timeline,
     entity_mention_counts, recently_active, summary_counts, top_entities, top_topics, type_histogram, pending_review_counts, low_confidence_queue, contradictions, split_candidates,
     impact_gate_deferred, provenance_block, salience_decay, salience_from_windows, relationships_2hop, relationships_3hop, survivor_flatten, mention_ids_by_name, bbox_contiguous,
     bbox_antimeridian, activity_typed, orphan_claims, claim_binding_index, token_blocking_pairs, token_blocks, exact_dup_merge_plan, dedup_plan, minhash_blocking_pairs, contested_entities, held_pairs,
-    trigram_similarity_topk, resolve_batch_topk, resolve_entity_ranked, jaro_winkler_pairs, fs_match_probability, id_set_intersection, orphan_keys_anti, retry_eligibility, retry_pick,
+    trigram_similarity_topk, resolve_batch_topk, resolve_batch_fiftieth, resolve_entity_ranked, jaro_winkler_pairs, fs_match_probability, id_set_intersection, orphan_keys_anti, retry_eligibility, retry_pick,
     edit_decision, excerpt_snippet, claim_source_counts, top_people_first_seen, person_topic_search,
 ]
 

@@ -1,12 +1,14 @@
 """Queries and operators that must not leave rows out, against brute force."""
 
 import itertools
+import math
 import random
+import re
 
 import pytest
 
 from lattica.functions import names as N
-from lattica.operators import dedup
+from lattica.operators import dedup, search
 from lattica.plans import catalogue
 from lattica.sources.views import Memory
 
@@ -94,3 +96,35 @@ def test_fs_scores_every_candidate(spark, memory):
     for a, b in random.Random(4).sample(sorted(got), 500):
         x, y = rows[a], rows[b]
         assert got[a, b] == pytest.approx(N.match_probability(x.kind, [x.name, *x.aliases], y.kind, [y.name, *y.aliases]), abs=1e-6)
+
+
+def test_vector_batch_in_blocks(spark, memory, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 3)
+    got = {}
+    for r in catalogue.vector_batch_fiftieth(memory).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id, r.score))
+    asked = {r.vec_id: r.embedding for r in spark.table("embeddings").where("vec_id % 50 = 0").collect()}
+    rows = {r.id: r.embedding for r in memory.experiences.where("superseded_by IS NULL AND deleted_at IS NULL AND embedding IS NOT NULL").collect()}
+
+    def cosine(x, y):
+        return sum(a * b for a, b in zip(x, y)) / (math.sqrt(sum(a * a for a in x)) * math.sqrt(sum(b * b for b in y)))
+
+    for q, x in asked.items():
+        best = sorted(((-cosine(x, y), i) for i, y in rows.items()))[:5]
+        want = [(k, i, pytest.approx(-s, abs=2e-6)) for k, (s, i) in enumerate(best, 1) if s < 0]
+        assert sorted(got.get(q, [])) == want
+    assert len(asked) == 10
+
+
+def test_resolve_batch_asks_for_every_kind(spark, memory):
+    got = {}
+    for r in catalogue.resolve_batch_fiftieth(memory).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.entity_id, r.trgm_score))
+    gram = lambda x: {f"  {w} "[i : i + 3] for w in re.split("[^a-z0-9]+", x.lower()) if w for i in range(len(w) + 1)}
+    rows = [(r.id, r.kind, [gram(n) for n in (r.canonical_name, r.alias1) if n]) for r in memory.entities.where("merged_into IS NULL").collect()]
+    asked = [(r.id, r.kind, gram(r.canonical_name)) for r in memory.entities.collect() if int(r.id[1:]) % 50 == 0]
+    assert {q[0] for q, _, _ in asked} == {"c", "s", "p"}
+    for q, kind, g in asked:
+        scores = [(max(len(g & x) / len(g | x) for x in names), i) for i, k, names in rows if k == kind]
+        best = sorted((-round(s, 5), i) for s, i in scores if s >= 0.3)[:5]
+        assert [(k, i, pytest.approx(-s, abs=2e-5)) for k, (s, i) in enumerate(best, 1)] == sorted(got.get(q, []))
