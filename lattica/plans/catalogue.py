@@ -190,6 +190,12 @@ def provenance_block(m: Memory) -> DataFrame:
     return block.select("experience_id", F.array_join(F.transform("provenance", lambda c: c["claim_id"].cast("string")), ",").alias("claims"))
 
 
+def provenance_blocks(m: Memory) -> DataFrame:
+    """``provenance_block`` of every experience."""
+    block = search.provenance_block(search.provenance(m.claims, m.claim_sources, m.experiences.select("id"), 0.6))
+    return block.select("experience_id", F.array_join(F.transform("provenance", lambda c: c["claim_id"].cast("string")), ",").alias("claims"))
+
+
 def salience_decay(m: Memory) -> DataFrame:
     targets = m.spark.table("events").select(F.col("user_id").alias("id")).distinct()
     return aggregates.salience(targets, m.recall_events, "experience", now()).select("id", F.round(F.col("salience").cast("double"), 4).alias("salience"))
@@ -353,7 +359,7 @@ def person_topic_search(m: Memory) -> DataFrame:
 MADE: list[Callable[[Memory], DataFrame]] = [
     hybrid_rrf_topk, vector_topk, vector_batch_topk, vector_batch_fiftieth, legacy_threshold_search, list_filtered, recent_feed, day_buckets, recall_window, who_was_at_date, who_was_at_experience, entity_timeline,
     entity_mention_counts, recently_active, summary_counts, top_entities, top_topics, type_histogram, pending_review_counts, low_confidence_queue, contradictions, split_candidates,
-    impact_gate_deferred, provenance_block, salience_decay, salience_from_windows, relationships_2hop, relationships_3hop, survivor_flatten, mention_ids_by_name, bbox_contiguous,
+    impact_gate_deferred, provenance_block, provenance_blocks, salience_decay, salience_from_windows, relationships_2hop, relationships_3hop, survivor_flatten, mention_ids_by_name, bbox_contiguous,
     bbox_antimeridian, activity_typed, orphan_claims, claim_binding_index, token_blocking_pairs, token_blocks, exact_dup_merge_plan, dedup_plan, minhash_blocking_pairs, contested_entities, held_pairs,
     trigram_similarity_topk, resolve_batch_topk, resolve_batch_fiftieth, resolve_entity_ranked, jaro_winkler_pairs, fs_match_probability, id_set_intersection, orphan_keys_anti, retry_eligibility, retry_pick,
     edit_decision, excerpt_snippet, claim_source_counts, top_people_first_seen, person_topic_search,

@@ -128,3 +128,15 @@ def test_resolve_batch_asks_for_every_kind(spark, memory):
         scores = [(max(len(g & x) / len(g | x) for x in names), i) for i, k, names in rows if k == kind]
         best = sorted((-round(s, 5), i) for s, i in scores if s >= 0.3)[:5]
         assert [(k, i, pytest.approx(-s, abs=2e-5)) for k, (s, i) in enumerate(best, 1)] == sorted(got.get(q, []))
+
+
+def test_provenance_of_every_experience(spark, memory):
+    ids = {r.id for r in memory.experiences.select("id").collect()}
+    claims = {r.id: r for r in memory.claims.where("polarity <> 'retracted' AND (confidence IS NULL OR confidence >= 0.6)").collect()}
+    want = {}
+    for r in memory.claim_sources.collect():
+        if r.experience_id in ids and r.claim_id in claims:
+            want.setdefault(r.experience_id, []).append(claims[r.claim_id])
+    key = lambda c: (c.confidence is None, -(c.confidence or 0), c.created_at, c.id)
+    got = {r.experience_id: r.claims for r in catalogue.provenance_blocks(memory).collect()}
+    assert got == {e: ",".join(str(c.id) for c in sorted(x, key=key)) for e, x in want.items()} and max(got) >= 100
