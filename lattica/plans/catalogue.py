@@ -304,6 +304,15 @@ def jaro_winkler_pairs(m: Memory) -> DataFrame:
     return pairs.select("x", "y", F.round(jaro_winkler_udf("x", "y"), 6).alias("similarity"))
 
 
+def jaro_winkler_candidates(m: Memory) -> DataFrame:
+    """The distinct names of all unmerged entities, each with those of its kind that share a token with it."""
+    names = dedup.named(entities(m)).select("kind", "name", F.array(X.folded(F.col("name"))).alias("forms")).distinct()
+    pairs = dedup.spread_pairs(dedup.token_keys(names.withColumn("id", F.concat_ws("|", "kind", "name"))))
+    bare = lambda c: F.expr(f"substring({c}, instr({c}, '|') + 1)")
+    x, y = bare("a"), bare("b")
+    return pairs.select(F.substring_index("a", "|", 1).alias("kind"), x.alias("x"), y.alias("y")).withColumn("similarity", F.round(jaro_winkler_udf("x", "y"), 6))
+
+
 def fs_match_probability(m: Memory) -> DataFrame:
     """Every candidate pair of all unmerged entities, so quadratic in the persons: the word of all their names pairs them."""
     rows = dedup.named(entities(m))
@@ -361,7 +370,7 @@ MADE: list[Callable[[Memory], DataFrame]] = [
     entity_mention_counts, recently_active, summary_counts, top_entities, top_topics, type_histogram, pending_review_counts, low_confidence_queue, contradictions, split_candidates,
     impact_gate_deferred, provenance_block, provenance_blocks, salience_decay, salience_from_windows, relationships_2hop, relationships_3hop, survivor_flatten, mention_ids_by_name, bbox_contiguous,
     bbox_antimeridian, activity_typed, orphan_claims, claim_binding_index, token_blocking_pairs, token_blocks, exact_dup_merge_plan, dedup_plan, minhash_blocking_pairs, contested_entities, held_pairs,
-    trigram_similarity_topk, resolve_batch_topk, resolve_batch_fiftieth, resolve_entity_ranked, jaro_winkler_pairs, fs_match_probability, id_set_intersection, orphan_keys_anti, retry_eligibility, retry_pick,
+    trigram_similarity_topk, resolve_batch_topk, resolve_batch_fiftieth, resolve_entity_ranked, jaro_winkler_pairs, jaro_winkler_candidates, fs_match_probability, id_set_intersection, orphan_keys_anti, retry_eligibility, retry_pick,
     edit_decision, excerpt_snippet, claim_source_counts, top_people_first_seen, person_topic_search,
 ]
 

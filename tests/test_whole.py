@@ -140,3 +140,11 @@ def test_provenance_of_every_experience(spark, memory):
     key = lambda c: (c.confidence is None, -(c.confidence or 0), c.created_at, c.id)
     got = {r.experience_id: r.claims for r in catalogue.provenance_blocks(memory).collect()}
     assert got == {e: ",".join(str(c.id) for c in sorted(x, key=key)) for e, x in want.items()} and max(got) >= 100
+
+
+def test_jaro_winkler_of_all_names(spark, memory):
+    names = {(r.kind, r.name) for r in named(memory).values()}
+    tokens = lambda n: {t for t in N.folded(n).split() if len(t) >= 3}
+    want = {(k, x, y): round(N.jaro_winkler(x, y), 6) for (k, x), (j, y) in itertools.combinations(sorted(names), 2) if k == j and tokens(x) & tokens(y)}
+    assert {(r.kind, r.x, r.y): r.similarity for r in catalogue.jaro_winkler_candidates(memory).collect()} == pytest.approx(want, abs=1e-6)
+    assert {k for k, _, _ in want} == {"person", "org", "concept"}
