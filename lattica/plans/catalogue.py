@@ -264,7 +264,8 @@ def dedup_plan(m: Memory) -> DataFrame:
 
 
 def minhash_blocking_pairs(m: Memory) -> DataFrame:
-    return dedup.candidate_pairs(dedup.minhash_keys(dedup.named(entities(m).where("kind = 'org'"))))
+    """The bands of all unmerged entities with their members: the candidate pairs are the pairs within a band."""
+    return dedup.blocks(dedup.minhash_keys(dedup.named(entities(m))))
 
 
 def contested_entities(m: Memory) -> DataFrame:

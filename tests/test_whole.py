@@ -148,3 +148,15 @@ def test_jaro_winkler_of_all_names(spark, memory):
     want = {(k, x, y): round(N.jaro_winkler(x, y), 6) for (k, x), (j, y) in itertools.combinations(sorted(names), 2) if k == j and tokens(x) & tokens(y)}
     assert {(r.kind, r.x, r.y): r.similarity for r in catalogue.jaro_winkler_candidates(memory).collect()} == pytest.approx(want, abs=1e-6)
     assert {k for k, _, _ in want} == {"person", "org", "concept"}
+
+
+def test_minhash_bands_hold_every_pair(spark, memory):
+    bands, want = {}, {}
+    for r in catalogue.minhash_blocking_pairs(memory).collect():
+        bands.setdefault(r.key, set()).add(r.id)
+    for r in named(memory).values():
+        for s in map(dedup.signature, r.forms):
+            for b in range(32):
+                want.setdefault((r.kind, b, *s[2 * b : 2 * b + 2]), set()).add(r.id)
+    assert sorted(map(sorted, bands.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+    assert {i[0] for x in bands.values() for i in x} == {"c", "s", "p"}
