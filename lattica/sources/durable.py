@@ -4,29 +4,58 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or where that is unset, as in tests, a temporary folder."""
+    """``spark.checkpoint.dir``; only a local session, as in tests, may do without, and gets a folder of its own."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lattica-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Lists of the runs that note their intermediate tables, the innermost last.
+_runs: list[list[str]] = []
+
+
+@contextmanager
+def noted_files() -> Iterator[list[str]]:
+    """The paths of the intermediate tables made inside, for the caller to ``delete`` once the results are written."""
+    files: list[str] = []
+    _runs.append(files)
+    try:
+        yield files
+    finally:
+        _runs.remove(files)
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write and read again: a short plan that the loss of executors does not hurt. The files go with the application."""
+    """Write and read again: a short plan that the loss of executors does not hurt.
+
+    The files go with the application, or when the run that noted them deletes them.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lattica-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    if _runs:
+        _runs[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
