@@ -1,14 +1,16 @@
-"""What several operators share: durable intermediate tables and word normalisation."""
+"""What several operators share: intermediate tables and word normalisation."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.sources.durable import delete, durable, noted_files, shared_folder
+
+__all__ = ["delete", "durable", "noted_files", "shared_folder"]
+
 #: A-Z lower-cased; every other ASCII byte that is no digit or letter becomes a blank; bytes of other characters stay.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -18,45 +20,6 @@ def normalised_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if made.isDefined():
-            return made.get()
-        folder = "file://" + tempfile.mkdtemp(prefix="lattica-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
-
-
-#: Intermediate tables that are still there.
-_written: list[str] = []
-
-
-def durable(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage and survives the loss of executors.
-
-    The files go when the application ends, or with ``forget`` unless ``keep``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/lattica-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    if not keep:
-        _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession) -> None:
-    """Delete the intermediate tables of queries whose results are written."""
-    while _written:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -2,46 +2,50 @@
 
 Texts are sets of five-word shingles. Equal sets are one node with a weight, so copies cost one row each and no pairs.
 
-1. A node's set is embedded by minwise hashing: its tokens are (coordinate, value). At the root ``RUNS`` coordinates are
-   sampled; nodes that share such a token meet in a bucket. Pairs at similarity s miss each other in all runs with
-   probability (1 - s) ** RUNS: 6 in 100,000 at 0.8.
-2. A bucket of more than ``BUCKET`` nodes is split again on ``SPLITS`` coordinates that its path samples, up to ``LEVELS``
-   times: passages that many texts share fall apart. A bucket whose nodes agree in most other coordinates is a large group
-   of near copies, which no split takes apart; it, and what is still large at the last level, is dealt in pairs of blocks,
-   so no task holds more than two blocks. No bucket is capped.
-3. Buckets are compared by brute force on the sketches; nodes estimated at ``ESTIMATE`` or more are tied to one member of
-   their group, a number of rows linear in the bucket.
-4. Connected ties are clusters. In each cluster, again in blocks, whole texts are shingled and all pairs compared exactly.
-   Links are counted where they are found, and groups come out as ties, so no pair is ever a row.
+1. A node's set is embedded by minwise hashing: its tokens are (coordinate, value). In each run one coordinate is sampled
+   at the root, and nodes that share its token meet in a bucket.
+2. Buckets are split recursively, inside the task that holds them: each path samples a coordinate, and with probability
+   1/4 a second one, so that a pair at 0.8 has one child in common on average. A bucket is compared by brute force once
+   the pairs that its first node leaves open are at most ``PAIRS``; a group of near copies, which no split takes apart,
+   leaves few. Nodes estimated at ``ESTIMATE`` or more are connected and tied to the first of their group, a number of
+   rows linear in the bucket.
+3. A bucket of more than ``TASK_NODES`` nodes is dealt over several tasks, each with the bucket's first node. Nodes that
+   a task does not connect with it are open; if they are few they visit all the bucket's tasks, else the bucket is split
+   by its path as above. No bucket is capped.
+4. Runs are repeated, ``RUNS`` at a time, until of the similar pairs of ``SAMPLE`` nodes with all nodes, as estimated from
+   coordinates that no first run samples, ``RECALL`` are connected.
+5. Connected ties are clusters, in which all pairs are compared exactly. In a large cluster a set is its difference from
+   the cluster's smallest set, so texts are read once, and blocks of nodes whose distances from that set already decide
+   are counted without comparing. Links are counted where they are found and groups come out as ties: no pair is ever a row.
 
 Defined results: texts without words have no links and are groups of their own, as are null texts; repeated rows are
-copies of each other; ids may repeat or be null; the group's id is its smallest id.
+copies of each other; ids may repeat or be null; the group's id is its smallest id; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.llm.common import durable, is_empty
 from lattica.llm.components import components
-from lattica.llm.shingles import fingerprint, shingles, unite
+from lattica.llm.exact_links import exact_links
+from lattica.llm.shingles import fingerprint, shingles
+from lattica.llm.spread import by_group, spread_join
 
 SIMILARITY = 0.8
-COORDINATES, RUNS, SPLITS, LEVELS = 64, 6, 3, 4
-BUCKET, BLOCK = 128, 256
-#: Shingles in one block of a cluster, 64 MB in a pair of blocks with their index.
-BLOCK_SHINGLES = 1_000_000
+COORDINATES, RUNS, RECALL, SAMPLE = 64, 8, 0.95, 512
+#: Repetitions that find no more pairs mean that the estimate is above what can be found.
+MAX_REPEATS = 8
+#: Pairs of a bucket compared at once, and nodes of one bucket in a task: 10 MB of sketches.
+PAIRS, TASK_NODES = 1 << 22, 65_536
 #: Four standard errors below the similarity.
 ESTIMATE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5
-#: Distinct values for each node, in coordinates other than the path's, up to which a bucket is a group of near copies.
-DENSE = 0.35
-PROBES = 3
 
 _random = np.random.default_rng(20180401)
 _MULTIPLY = _random.integers(0, 1 << 31, COORDINATES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -49,7 +53,7 @@ _ADD = _random.integers(0, 1 << 32, COORDINATES, np.uint32)
 
 
 def sketch(own: np.ndarray) -> tuple[list[int], bytes]:
-    """The shingles that are smallest in the root's coordinates, and 16 bits of the minimum in every coordinate."""
+    """The shingles that are smallest in the first runs' coordinates, and 16 bits of the minimum in every coordinate."""
     low = (own & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     roots, values = [], np.empty(COORDINATES, np.uint32)
     for i in range(COORDINATES):
@@ -101,148 +105,197 @@ def with_fingerprint(docs: DataFrame, text_col: str, width: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Rows of equal ``key`` from a partition that is sorted by it, groups of one row left out."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(batch.schema.names.index(key)).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        if rest and rest[0].column(rest[0].schema.names.index(key))[0].as_py() != keys[0]:
-            if sum(b.num_rows for b in rest) > 1:
-                yield pa.Table.from_batches(rest)
-            rest = []
-        for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
-            if rest or b - a > 1:
-                part = [*rest, batch.slice(a, b - a)]
-                if sum(x.num_rows for x in part) > 1:
-                    yield pa.Table.from_batches(part)
-                rest = []
-        rest.append(batch.slice(cuts[-2], cuts[-1] - cuts[-2]))
-    if sum(b.num_rows for b in rest) > 1:
-        yield pa.Table.from_batches(rest)
-
-
-def by_group(rows: DataFrame, key: str, schema: T.StructType, work: Callable[[pa.Table], pa.RecordBatch | None]) -> DataFrame:
-    """``work`` on each group of two rows or more; a partition's groups stream through one Python call."""
+def alike(sk: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return (sk == one).sum(1) >= ESTIMATE * COORDINATES
+
+
+class Groups:
+    """Disjoint sets of 0..n-1; the smallest member stands for its set."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def first(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    def unite(self, i: int, more: list[int]) -> None:
+        i = self.first(i)
+        for j in map(self.first, more):
+            i, j = min(i, j), max(i, j)
+            self.up[j] = i
+
+
+def connect(sk: np.ndarray, rows: np.ndarray, groups: Groups) -> None:
+    """Connects all similar pairs among ``rows``; a row that is reached is compared only with those not reached yet."""
+    rest, left = rows, sk[rows]
+    while len(rest) > 1:
+        begin = int(rest[0])
+        todo = [begin]
+        rest, left = rest[1:], left[1:]
+        while todo and len(rest):
+            near = alike(left, sk[todo.pop()])
+            if near.any():
+                hits = rest[near].tolist()
+                groups.unite(begin, hits)
+                todo.extend(hits)
+                rest, left = rest[~near], left[~near]
+
+
+def split(sk: np.ndarray, path: int) -> Groups:
+    """The groups that chosen paths connect in one bucket."""
+    groups = Groups(len(sk))
+    todo = [(np.arange(len(sk)), path)]
+    while todo:
+        rows, path = todo.pop()
+        n = len(rows)
+        if n * (n - 1) // 2 > PAIRS and n * int((~alike(sk[rows], sk[rows[0]])).sum()) > PAIRS:
+            more = hash((path, 2))
+            for c in {hash((path, 1)) % COORDINATES, *([more // 4 % COORDINATES] if more % 4 == 0 else [])}:
+                order = rows[np.argsort(sk[rows, c], kind="stable")]
+                values = sk[order, c]
+                for part in np.split(order, np.flatnonzero(values[1:] != values[:-1]) + 1):
+                    if len(part) > 1:
+                        todo.append((part, hash((path, c, int(sk[part[0], c])))))
+        elif n > 1:
+            connect(sk, rows, groups)
+    return groups
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, key):
-            made = work(group)
-            if made is not None:
-                yield made
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+TIE = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())])
+#: Ties, and the open nodes of a bucket with its path.
+FOUND = T.StructType([*TIE.fields, T.StructField("path", T.LongType()), T.StructField("sk", T.BinaryType())])
 
 
-def blocks(rows: DataFrame, n_blocks: str, item: str, path: str) -> DataFrame:
-    """``rows`` once for each pair of blocks that its own block is in: key, side (the own block's place), single (the pair is one block with itself)."""
-    own = F.pmod(F.xxhash64(item, F.lit(7)), F.col(n_blocks))
-    out = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_blocks) - 1)))
-    low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
-    return out.select(*rows.columns, F.xxhash64(path, low, high).alias("key"), (F.col("_own") > F.col("_other")).alias("side"), (F.col("_own") == F.col("_other")).alias("single")).drop(n_blocks)
+def sketches(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), "<u2").reshape(len(column), -1)
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
-    """All final buckets: key, side, single, fp, sk."""
-    rows = nodes.select("fp", "sk", F.posexplode("roots").alias("run", "token")).select("fp", "sk", F.xxhash64("run", "token").alias("path"))
-    made = []
-    for level in range(LEVELS + 1):
-        large = durable(rows.groupBy("path").agg(F.count("*").cast("long").alias("n")).where(F.col("n") > BUCKET), "large-buckets")
-        whole = rows.join(large, "path", "left") if not is_empty(large) else rows.withColumn("n", F.lit(None).cast("long"))
-        made.append(whole.where(F.col("n").isNull()).select("path", "fp", "sk", F.lit(1).cast("long").alias("nb")))
-        if is_empty(large):
-            break
-        within = rows.join(large, "path")
-        if level == LEVELS:
-            made.append(within.select("path", "fp", "sk", F.ceil(F.col("n") / BLOCK).alias("nb")))
-            break
-        at = lambda j: (F.pmod(F.xxhash64("path", F.lit(level), F.lit(j)), F.lit(COORDINATES)) * 2 + 1).cast("int")  # noqa: E731, B023
-        value = lambda j: F.substring("sk", at(j), F.lit(2))
-        probed = within.select("path", "n", *(value(SPLITS + j).alias(f"v{j}") for j in range(PROBES)))
-        spread = sum((F.approx_count_distinct(f"v{j}") for j in range(PROBES)), F.lit(0)) / PROBES
-        kinds = durable(probed.groupBy("path", "n").agg((spread / F.first("n") <= DENSE).alias("dense")), "bucket-kinds")
-        within = rows.join(kinds, "path")
-        made.append(within.where("dense").select("path", "fp", "sk", F.ceil(F.col("n") / BLOCK).alias("nb")))
-        children = F.array(*(F.xxhash64("path", at(j), value(j)) for j in range(SPLITS)))
-        rows = within.where(~F.col("dense")).select("fp", "sk", F.explode(F.array_distinct(children)).alias("path"))
-    out = made[0]
-    for more in made[1:]:
-        out = out.union(more)
-    return blocks(out, "nb", "fp", "path")
+def in_order(group: pa.Table) -> pa.Table:
+    """By fingerprint, so that results do not depend on the order of arrival."""
+    fps = group.column("fp").to_pylist()
+    return group.take(sorted(range(len(fps)), key=fps.__getitem__))
 
 
-TIE = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())])
+def tie_bucket(group: pa.Table) -> pa.RecordBatch | None:
+    """Nodes of a bucket tied to the first of their group."""
+    group = in_order(group)
+    fp = group.column("fp").to_pylist()
+    groups = split(sketches(group.column("sk").to_pylist()), group.column("path")[0].as_py())
+    ties = [(fp[r], fp[i]) for i in range(len(fp)) if (r := groups.first(i)) != i]
+    return pa.RecordBatch.from_arrays([pa.array([t[k] for t in ties], pa.binary()) for k in (0, 1)], names=TIE.names) if ties else None
 
 
-def tie_similar(group: pa.Table) -> pa.RecordBatch | None:
-    """Nodes of a bucket tied to the first of their component among the pairs estimated as similar."""
-    fp = group.column("fp").to_pylist()
-    sk = np.frombuffer(b"".join(group.column("sk").to_pylist()), "<u2").reshape(len(fp), -1)
-    near = np.zeros((len(fp), len(fp)), bool)
-    for a in range(0, len(fp), 32):
-        near[a : a + 32] = (sk[a : a + 32, None, :] == sk[None, :, :]).sum(2) >= ESTIMATE * COORDINATES
-    root = unite(compared(near, group))
-    tied = np.flatnonzero(root != np.arange(len(fp)))
-    return pa.RecordBatch.from_arrays([pa.array([fp[root[i]] for i in tied], pa.binary()), pa.array([fp[i] for i in tied], pa.binary())], names=["u", "v"]) if len(tied) else None
-
-
-def compared(near: np.ndarray, group: pa.Table) -> np.ndarray:
-    """Without pairs inside a block if the group is a pair of different blocks: they are compared elsewhere."""
-    if not group.column("single")[0].as_py():
-        side = group.column("side").to_numpy()
-        near = near & (side[:, None] != side[None, :])
-    return near
-
-
-LINK = T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("links", T.LongType()), T.StructField("tie", T.BinaryType()), T.StructField("blocked", T.BooleanType())])
-
-
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections."""
-    n = len(sets)
-    values, first = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    often = np.bincount(first, minlength=len(values)) > 1
-    place = np.cumsum(often) - 1
-    use = often[first]
-    column, owner = place[first[use]], owner[use]
-    out = np.zeros((n, n), np.float32)
-    step = max(256, (1 << 23) // n)  # 32 MB of the incidence matrix at once
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    for a in range(0, int(often.sum()), step):
-        lo, hi = np.searchsorted(column, (a, a + step))
-        part = np.zeros((n, step), np.float32)
-        part[owner[lo:hi], column[lo:hi] - a] = 1
-        out += part @ part.T
+def tie_part(group: pa.Table) -> pa.RecordBatch:
+    """A part of a bucket with the bucket's first node: ties, and the nodes that are not connected with that one."""
+    group = in_order(group)
+    fp, sk, path = group.column("fp").to_pylist(), group.column("sk").to_pylist(), group.column("path")[0].as_py()
+    pivot = group.column("first")[0].as_py()
+    fp, sk = [pivot["fp"], *fp], [pivot["sk"], *sk]
+    groups = split(sketches(sk), path)
+    rows = [(fp[r], fp[i], None, None) for i in range(len(fp)) if (r := groups.first(i)) != i]
+    rows += [(fp[i], fp[i], path, sk[i]) for i in range(len(fp)) if groups.first(i) != 0 and fp[i] != fp[0]]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.binary()))], names=FOUND.names)
+
+
+def tie_visitors(group: pa.Table) -> pa.RecordBatch | None:
+    """Open nodes tied to all similar ones of a part of their bucket."""
+    group = in_order(group)
+    fp, sk, visits = group.column("fp").to_pylist(), sketches(group.column("sk").to_pylist()), group.column("visits").to_pylist()
+    ties = [(fp[i], fp[j]) for i in range(len(fp)) if visits[i] for j in np.flatnonzero(alike(sk, sk[i])).tolist() if fp[i] != fp[j]]
+    return pa.RecordBatch.from_arrays([pa.array([t[k] for t in ties], pa.binary()) for k in (0, 1)], names=TIE.names) if ties else None
+
+
+def value(coordinate: Column) -> Column:
+    return F.substring("sk", (coordinate * 2 + 1).cast("int"), F.lit(2))
+
+
+def root_rows(nodes: DataFrame, repeat: int) -> DataFrame:
+    """path, fp, sk of every node in each run: the first runs by whole shingles, later ones by two coordinates' values."""
+    if repeat == 0:
+        rows = nodes.select("fp", "sk", F.posexplode("roots").alias("run", "token"))
+        return rows.select(F.xxhash64("run", "token").alias("path"), "fp", "sk")
+    chosen = np.random.default_rng(repeat).permutation(COORDINATES)[: 2 * RUNS].reshape(-1, 2).tolist()
+    paths = F.array(*(F.xxhash64(F.lit(repeat * RUNS + k), value(F.lit(a)), value(F.lit(b))) for k, (a, b) in enumerate(chosen)))
+    return nodes.select(F.explode(paths).alias("path"), "fp", "sk")
+
+
+def ties(nodes: DataFrame, repeat: int) -> DataFrame:
+    """(u, v) for similar nodes that meet in one of the runs, connected rather than all."""
+    rows = root_rows(nodes, repeat)
+    made = []
+    for level in range(COORDINATES):
+        large = rows.groupBy("path").agg(F.count("*").alias("n"), F.min_by(F.struct("fp", "sk"), F.xxhash64("fp", "path")).alias("first"))
+        large = durable(large.where(F.col("n") > TASK_NODES), "large-buckets")
+        if is_empty(large):
+            return union([*made, by_group(rows, "path", TIE, tie_bucket)])
+        held = durable(spread_join(rows, large, "path", "left"), "bucket-rows")
+        made.append(by_group(held.where("n IS NULL").select("path", "fp", "sk"), "path", TIE, tie_bucket))
+        parts = F.ceil(F.col("n") / TASK_NODES)
+        dealt = held.where("n IS NOT NULL").withColumn("key", F.xxhash64("path", F.pmod(F.xxhash64("fp", F.lit(7)), parts)))
+        found = durable(by_group(dealt, "key", FOUND, tie_part, least=1), "bucket-parts")
+        made.append(found.where("path IS NULL").select("u", "v"))
+        opened = found.where("path IS NOT NULL").select("path", F.col("u").alias("fp"), "sk")
+        few = large.join(opened.groupBy("path").agg(F.count("*").alias("open")), "path").select("path", F.col("n").alias("of"), (16 * F.col("open") * parts <= F.col("n")).alias("few"))
+        few = durable(few, "open-buckets")
+        visitors = spread_join(opened, few.where("few"), "path").select("path", "fp", "sk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("of") / TASK_NODES) - 1)).alias("part"))
+        visitors = visitors.select("fp", "sk", F.xxhash64("path", "part").alias("key"), F.lit(True).alias("visits"))
+        kinds = spread_join(dealt, few, "path")
+        hosts = kinds.where("few").select("fp", "sk", "key", F.lit(False).alias("visits"))
+        made.append(by_group(hosts.union(visitors), "key", TIE, tie_visitors))
+        at = lambda j: F.pmod(F.xxhash64("path", F.lit(level), F.lit(j)), F.lit(COORDINATES))  # noqa: E731, B023
+        child = lambda j: F.xxhash64("path", at(j), value(at(j)))
+        children = F.when(F.pmod(F.xxhash64("path", F.lit(level), F.lit(2)), F.lit(4)) == 0, F.array_distinct(F.array(child(0), child(1)))).otherwise(F.array(child(0)))
+        rows = durable(kinds.where("NOT few").select(F.explode(children).alias("path"), "fp", "sk"), "child-buckets")
+    raise RuntimeError("a bucket does not split")
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
     return out
 
 
-def verify(width: int, similarity: float) -> Callable[[pa.Table], pa.RecordBatch | None]:
-    def work(group: pa.Table) -> pa.RecordBatch | None:
-        seen: dict[bytes, int] = {}
-        sets: list[np.ndarray] = []
-        for k, (fp, text) in enumerate(zip(group.column("fp").to_pylist(), group.column("text").to_pylist(), strict=True)):
-            if fp not in seen and fingerprint(own := shingles(text, width)) == fp:  # an id may have more than one text
-                seen[fp] = k
-                sets.append(own)
-        if len(sets) < 2:
-            return None
-        group = group.take(list(seen.values()))
-        fps, weight = list(seen), group.column("weight").to_numpy()
-        size = np.array([len(s) for s in sets])
-        both = shared_counts(sets)
-        near = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6
-        np.fill_diagonal(near, False)
-        near = compared(near, group)
-        links, root = near @ weight, unite(near)
-        rows = np.flatnonzero(links)
-        arrays = [pa.array([fps[i] for i in rows], pa.binary()), pa.array(links[rows], pa.int64()), pa.array([fps[root[i]] for i in rows], pa.binary()), group.column("blocked").take(rows).combine_chunks()]
-        return pa.RecordBatch.from_arrays(arrays, names=LINK.names) if len(rows) else None
-
-    return work
+def recall(nodes: DataFrame, members: DataFrame) -> float:
+    """Of the similar pairs of ``SAMPLE`` nodes with all nodes, the share that ``members`` (fp, root) connect.
+
+    Fingerprints are uniform, so the smallest are a sample. Similarity is estimated from coordinates that no first run samples.
+    """
+    asked = nodes.select("fp", "sk").orderBy("fp").limit(SAMPLE).collect()
+    fps = [bytes(r["fp"]) for r in asked]
+    of = {bytes(r["fp"]): bytes(r["root"]) for r in members.where(F.col("fp").isin(fps)).collect()} if fps else {}
+    want = sketches([bytes(r["sk"]) for r in asked])[:, RUNS:] if fps else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = found = 0
+        for batch in batches:
+            if batch.num_rows:
+                fp, root = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+                sk = np.ascontiguousarray(sketches(batch.column(1).to_pylist())[:, RUNS:])
+                for k, one in enumerate(fps):
+                    for i in np.flatnonzero((sk == want[k]).sum(1) >= SIMILARITY * (COORDINATES - RUNS)).tolist():
+                        pairs += fp[i] != one
+                        found += fp[i] != one and root[i] is not None and root[i] == of.get(one)
+        yield pa.RecordBatch.from_arrays([pa.array([pairs]), pa.array([found])], names=["pairs", "found"])
+
+    rows = nodes.select("fp", "sk").join(members.select("fp", "root"), "fp", "left")
+    sums = rows.mapInArrow(run, "pairs long, found long").agg(F.sum("pairs").alias("pairs"), F.sum("found").alias("found")).first()
+    return sums["found"] / sums["pairs"] if sums["pairs"] else 1.0
+
+
+def clusters(nodes: DataFrame) -> DataFrame:
+    """(fp, root) of the nodes that are tied to others; runs are repeated until the target recall."""
+    edges, members = None, None
+    for repeat in range(MAX_REPEATS):
+        more = ties(nodes, repeat)
+        edges = more if edges is None else edges.union(members.select(F.col("fp").alias("u"), F.col("root").alias("v"))).union(more)
+        members = durable(components(edges).select(F.col("node").alias("fp"), "root"), "clusters")
+        if recall(nodes, members) >= RECALL:
+            break
+    return members
 
 
 #: Bits of the filter of possible members, 64 in a row: at most 131,072 rows, 2 MB, whatever the corpus' size.
@@ -271,27 +324,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.count("*").alias("weight"), F.min(id_col).alias("rep"), F.first("size").alias("size"), F.first("roots").alias("roots"), F.first("sk").alias("sk")),
         "nodes",
     )
-    ties = by_group(buckets(nodes), "key", TIE, tie_similar)
-    members = components(ties).select(F.col("node").alias("fp"), "root")
-    members = durable(members.join(nodes.select("fp", "weight", "rep", "size"), "fp"), "members")
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("nb"))
+    members = durable(clusters(nodes).join(nodes.select("fp", "weight", "rep", "size"), "fp"), "members")
     texts = possible(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")), members.select(F.col("rep").alias("_id")))
-    found = texts.join(members.join(sizes, "root"), F.col("_id").eqNullSafe(F.col("rep")))
-    dealt = blocks(found.select("fp", "text", "weight", "root", "nb", (F.col("nb") > 1).alias("blocked")), "nb", "fp", "root")
-    links = durable(by_group(dealt, "key", LINK, verify(width, similarity)), "links")
+    links = durable(exact_links(texts, members, width, similarity), "links")
     counted = links.groupBy("fp").agg(F.sum("links").alias("links"))
-    classes = links.where(~F.col("blocked")).select("fp", F.col("tie").alias("root"))
-    blocked = links.where("blocked").select(F.col("fp").alias("u"), F.col("tie").alias("v"))
-    if not is_empty(blocked):
-        classes = classes.union(components(blocked).select(F.col("node").alias("fp"), "root"))
-    linked = classes.join(nodes.select("fp", "rep"), "fp")
+    classes = links.where(~F.col("shared")).select("fp", F.col("tie").alias("root"))
+    shared = links.where(F.col("shared") & F.col("tie").isNotNull()).select(F.col("fp").alias("u"), F.col("tie").alias("v"))
+    if not is_empty(shared):
+        classes = classes.union(components(shared).select(F.col("node").alias("fp"), "root"))
+    linked = durable(classes.join(nodes.select("fp", "rep"), "fp"), "linked")
     first = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = linked.join(first, "root").select("fp", "root", "class_id").join(counted, "fp")
+    known = spread_join(linked, first, "root").select("fp", "root", "class_id").join(counted, "fp")
     of_node = nodes.select("fp", "weight", "rep").join(known, "fp", "left")
     of_node = of_node.select(
         "fp", F.coalesce("root", "fp").alias("group"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
-    out = rows.select(id_col, "fp").join(of_node, "fp", "left")
+    out = spread_join(rows.select(id_col, "fp"), durable(of_node, "classes"), "fp", "left")
     return out.select(id_col, F.coalesce("class_id", id_col).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group", "fp")
 
 

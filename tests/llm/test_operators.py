@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import bins, jaccard_join, warc
+from lattica.llm import bins, exact_links, jaccard_join, spread, warc
 from lattica.llm.components import components
 from lattica.llm.decontamination import decontaminate
 from lattica.llm.jaccard_join import first_of_groups, near_duplicates
@@ -209,11 +209,51 @@ def test_near_duplicates_match_brute_force(spark):
     check_links(spark, [*near_texts(5, 12, 6), "", None, "one two", "One, two!", "a b c d e", "!!"])
 
 
-def test_near_duplicates_in_blocks_and_splits(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BUCKET", 4)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+@pytest.mark.parametrize("task_nodes", [4, 12])
+def test_near_duplicates_in_blocks_and_splits(spark, monkeypatch, task_nodes):
+    """Buckets over several tasks, clusters over several blocks, with sets near to the smallest one and far from it."""
+    monkeypatch.setattr(jaccard_join, "TASK_NODES", task_nodes)
+    monkeypatch.setattr(exact_links, "BLOCK", 3)
     shared = " ".join(words_of(random.Random(9), 40))
-    check_links(spark, [*near_texts(6, 2, 14), *(f"{shared} {t}" for t in near_texts(7, 10, 2))])
+    check_links(spark, [*near_texts(6, 2, 14), *(f"{shared} {t}" for t in near_texts(7, 10, 2)), *near_texts(16, 1, 60)])
+
+
+def test_hot_keys_stay_in_place(spark, monkeypatch):
+    monkeypatch.setattr(spread, "LEAST_HOT", 3)
+    monkeypatch.setattr(jaccard_join, "TASK_NODES", 5)
+    monkeypatch.setattr(exact_links, "BLOCK", 4)
+    texts = near_texts(12, 3, 30)
+    check_links(spark, [*texts, *texts[:1] * 20])
+    rows = spark.createDataFrame([("a", k) for k in range(40)] + [("b", 1), (None, 2), ("c", 3)], "k string, x long")
+    table = spark.createDataFrame([("a", 10), ("b", 20), ("d", 30)], "k string, y long")
+    for how in ("inner", "left", "left_semi"):
+        assert Counter(map(tuple, spread.spread_join(rows, table, "k", how).collect())) == Counter(map(tuple, rows.join(table, "k", how).collect()))
+
+
+@pytest.mark.parametrize("pairs", [1, 40, 1 << 20])
+def test_splitting_keeps_groups_of_near_copies(monkeypatch, pairs):
+    monkeypatch.setattr(jaccard_join, "PAIRS", pairs)
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 16, (5, 64)).astype("<u2")
+    sk = np.concatenate([np.where(r.random((40, 64)) < 0.02, r.integers(0, 1 << 16, (40, 64)), b).astype("<u2") for b in base])
+    groups = jaccard_join.split(sk, 17)
+    firsts = [groups.first(i) for i in range(len(sk))]
+    assert sum(f == i // 40 * 40 for i, f in enumerate(firsts)) >= 0.9 * len(sk) and all(f // 40 == i // 40 for i, f in enumerate(firsts))
+
+
+@pytest.mark.parametrize("listed", [0, 3, 64])
+def test_shared_counts(monkeypatch, listed):
+    monkeypatch.setattr(exact_links, "LISTED", listed)
+    r = np.random.default_rng(4)
+    a, b = ([np.unique(r.integers(0, 60, r.integers(0, 40)).astype(np.uint64)) for _ in range(n)] for n in (9, 13))
+    assert (exact_links.shared_counts(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+
+
+def test_recall_is_measured(spark):
+    texts = near_texts(5, 30, 6)
+    rows = jaccard_join.sketched(docs(spark, texts), "doc_id", "text", 5).where("fp IS NOT NULL").dropDuplicates(["fp"])
+    whole = jaccard_join.clusters(rows)
+    assert jaccard_join.recall(rows, whole) >= 0.95 and jaccard_join.recall(rows, whole.limit(0)) == 0.0
 
 
 def test_repeated_ids_and_rows(spark):
@@ -224,9 +264,11 @@ def test_repeated_ids_and_rows(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(spread, "LEAST_HOT", hot)
     r = random.Random(10)
-    edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)]
+    edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)] + [(200, k) for k in range(201, 260)] + [(400, k) for k in range(300, 360)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     root = {x: x for e in edges for x in e}
     for _ in range(200):
