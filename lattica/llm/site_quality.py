@@ -10,8 +10,8 @@ All sums are grouped aggregations with partial sums before the shuffle, so one h
 join back is on (host, path) and left to the optimiser, which broadcasts sites only below the session's limit and else
 splits hot hosts.
 
-The logistic model is fitted on at most ``max_labels`` labelled documents, taken by a hash of the id; everything else
-covers all rows.
+The logistic model is fitted on at most ``max_labels`` labelled documents, taken by a hash of the id, one for each id and
+label; everything else covers all rows.
 
 Defined results: a null text counts as empty; a null host or path is a site of its own; a null label is no label; repeated
 rows are scored each; without labels of both classes all documents score 0.5 and are kept; an empty table gives no rows.
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import durable
-from lattica.llm.features import COUNTS, STYLE, settled, with_counts
+from lattica.llm.features import count, settled, with_counts
 
 MAX_LABELS = 20_000
 THRESHOLD = 0.5
@@ -41,20 +41,20 @@ OUT = ["host", "path", "p_document", "p_host", "p_path", "p_quality", "kept"]
 
 def form() -> dict[str, Column]:
     """What the model sees of a text."""
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    of_words = lambda c: F.col(c) / words
+    words, chars = F.greatest(count("n_words"), F.lit(1)), F.greatest(count("word_chars"), F.lit(1))
+    of_words = lambda c: count(c) / words
     made = {
-        "length": F.log1p("n_words"),
-        "word_length": F.least(F.col("word_chars") / words, F.lit(30.0)),
+        "length": F.log1p(count("n_words")),
+        "word_length": F.least(of_words("word_chars"), F.lit(30.0)),
         "symbols": F.least(of_words("n_symbols"), F.lit(2.0)),
         "has_bars": F.least(of_words("n_bars"), F.lit(1.0)),
         "bangs": F.least(of_words("n_bangs"), F.lit(2.0)),
         "stops": F.least(of_words("n_stops"), F.lit(2.0)),
-        "capitals": F.col("n_upper") / chars,
+        "capitals": count("n_upper") / chars,
         "single": of_words("n_single"),
         "adjacent": of_words("n_adjacent"),
         "distinct": of_words("n_distinct"),
-        "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
+        "dup_lines": count("n_dup_lines") / F.greatest(count("n_lines"), F.lit(1)),
     }
     steep = {f"{k}_root": F.sqrt(made[k]) for k in ("symbols", "has_bars", "bangs", "adjacent")}
     return made | steep
@@ -80,11 +80,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_labels: int) -> tuple[list[float], float] | None:
     labels = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).dropna().distinct()
-    n = labels.count()
-    if n > max_labels:
-        labels = labels.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * max_labels / n))
+    labels = labels.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_labels)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    joined = texts.join(F.broadcast(labels), "_id")  # at most about max_labels rows of two numbers
+    joined = texts.join(F.broadcast(labels), "_id")  # at most max_labels rows of two numbers
+    # Of the rows that share an id one is taken, so that no more rows come than labels.
+    joined = joined.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_text").alias("hash"), "_text")).getField("_text").alias("_text"))
     rows = with_counts(joined, "_text", repeats=False).select("_y", *(c.alias(k) for k, c in form().items())).collect()
     if len({r["_y"] for r in rows}) < 2:
         return None
@@ -96,7 +96,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
 def scored(docs: DataFrame, text_col: str, host: Column, path: Column, model: tuple[list[float], float] | None) -> DataFrame:
     """``docs`` with host, path and p_document."""
-    df = docs.drop(*OUT).withColumns({"_host": host, "_path": path})
+    df = docs.withColumns({"_lattica_host": host, "_lattica_path": path})
+    kept = [c for c in docs.columns if c not in OUT]
     if model is None:
         odds = F.lit(0.0)
     else:
@@ -105,8 +106,8 @@ def scored(docs: DataFrame, text_col: str, host: Column, path: Column, model: tu
         for w, c in zip(model[0], form().values(), strict=True):
             odds = odds + F.lit(w) * c
         odds = F.greatest(F.least(odds, F.lit(MAX_ODDS)), F.lit(-MAX_ODDS))
-    df = df.withColumn("p_document", settled(1 / (1 + F.exp(-odds))))
-    return df.drop(*COUNTS, *STYLE).withColumnsRenamed({"_host": "host", "_path": "path"})
+    df = df.withColumn("_lattica_p", settled(1 / (1 + F.exp(-odds))))
+    return df.select(*kept, F.col("_lattica_host").alias("host"), F.col("_lattica_path").alias("path"), F.col("_lattica_p").alias("p_document"))
 
 
 def strength(share: float, rows: DataFrame, parent: Column) -> float:
@@ -129,22 +130,25 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     """
     own = scored(docs, text_col, host, path, train(docs, labels, id_col, text_col, label_col, max_labels))
     own = durable(own.drop(text_col) if drop_text else own, "document-scores")
+    columns = own.columns
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731 # a null is a site, too
-    own = own.withColumns({"_h": key("host"), "_p": key("path")})
-    paths = durable(own.groupBy("_h", "_p").agg(F.count("*").alias("n"), F.sum("p_document").alias("s")), "paths")
-    hosts = durable(paths.groupBy("_h").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "hosts")
+    own = own.withColumns({"_lattica_h": key("host"), "_lattica_p": key("path")})
+    paths = durable(own.groupBy("_lattica_h", "_lattica_p").agg(F.count("*").alias("n"), F.sum("p_document").alias("s")), "paths")
+    hosts = durable(paths.groupBy("_lattica_h").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "hosts")
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("s").alias("s")).first()
     mean = min(max(total["s"] / total["n"], 1e-6), 1 - 1e-6) if total["n"] else 0.5
     k_host = strength(mean, hosts, F.lit(mean))
     posterior = (F.lit(k_host * mean) + F.col("s")) / (F.lit(k_host) + F.col("n"))
-    of_host = hosts.select("_h", F.col("n").alias("n_host"), F.col("s").alias("s_host"), posterior.alias("parent"))
-    sites = paths.join(of_host, "_h")
+    of_host = hosts.select("_lattica_h", F.struct(F.col("n").alias("n_host"), F.col("s").alias("s_host")).alias("_lattica_of"), posterior.alias("parent"))
+    sites = paths.join(of_host, "_lattica_h")
     k_path = strength(mean, sites, F.col("parent"))
-    sites = sites.select("_h", "_p", "n_host", "s_host", F.col("n").alias("n_path"), F.col("s").alias("s_path"))
+    site = F.struct(F.col("_lattica_of.n_host"), F.col("_lattica_of.s_host"), F.col("n").alias("n_path"), F.col("s").alias("s_path"))
+    sites = sites.select("_lattica_h", "_lattica_p", site.alias("_lattica_site"))
+    of = lambda name: F.col(f"_lattica_site.{name}")
     p = F.col("p_document")
-    out = own.join(sites, ["_h", "_p"], "left").withColumn("p_host", (F.lit(k_host * mean) + F.col("s_host") - p) / (F.lit(k_host - 1) + F.col("n_host")))
-    out = out.withColumn("p_path", (F.lit(k_path) * F.col("p_host") + F.col("s_path") - p) / (F.lit(k_path - 1) + F.col("n_path")))
+    out = own.join(sites, ["_lattica_h", "_lattica_p"], "left").withColumn("p_host", (F.lit(k_host * mean) + of("s_host") - p) / (F.lit(k_host - 1) + of("n_host")))
+    out = out.withColumn("p_path", (F.lit(k_path) * F.col("p_host") + of("s_path") - p) / (F.lit(k_path - 1) + of("n_path")))
     held = F.greatest(F.least(F.col("p_path"), F.lit(1 - 1e-6)), F.lit(1e-6))
     odds = F.log(p / (1 - p)) + F.log(held / (1 - held)) - F.lit(math.log(mean / (1 - mean)))
     out = out.withColumn("p_quality", 1 / (1 + F.exp(-odds)))
-    return out.withColumn("kept", F.col("p_quality") >= threshold).drop("_h", "_p", "n_host", "s_host", "n_path", "s_path")
+    return out.withColumn("kept", F.col("p_quality") >= threshold).select(*columns, "p_host", "p_path", "p_quality", "kept")
