@@ -15,7 +15,7 @@ from lattica.llm.html_text import extract_text
 from lattica.llm.jaccard_join import near_duplicates
 from lattica.llm.packing import pack
 from lattica.llm.quality_rules import apply_rules
-from lattica.llm.quotation import link_quotations
+from lattica.llm.quotation import in_reply_order, link_quotations
 from lattica.llm.site_quality import classify
 from lattica.llm.token_counts import token_counts
 from lattica.llm.url_rules import STANDARD, judge_urls, rule_table
@@ -82,8 +82,28 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def quoting_replies(chats: DataFrame) -> DataFrame:
+    """``chats`` in which about one message of eight, by the digest of its place, quotes one or two earlier ones.
+
+    The digest's first digit says whether, the second how far back, the third whether the message before the quoted one
+    is quoted within the quote. Where that earlier turn does not exist nothing is quoted.
+    """
+    digest = F.sha2(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")), 256)
+    digit = lambda i: F.conv(F.substring(digest, i, 1), 16, 10).cast("int")
+    earlier = chats.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    said = lambda name: earlier.select("conv_id", F.col("turn").alias(f"{name}_turn"), F.col("said").alias(name))
+    df = chats.withColumns({"outer_turn": F.when(digit(1) < 2, F.col("turn") - 1 - digit(2) % 4)})
+    df = df.withColumn("inner_turn", F.when(digit(3) % 2 == 0, F.col("outer_turn") - 1))
+    df = df.join(said("outer"), ["conv_id", "outer_turn"], "left").join(said("inner"), ["conv_id", "inner_turn"], "left")
+    marked = lambda text, mark: F.array_join(F.transform(F.split(text, "\n"), lambda x: F.concat(F.lit(mark), x)), "\n")
+    nested = F.when(F.col("inner").isNotNull(), F.concat(marked(F.col("inner"), ">> "), F.lit("\n"))).otherwise("")
+    quote = F.concat(F.lit("On Monday, somebody wrote:\n"), nested, marked(F.col("outer"), "> "), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    return df.withColumn("text", F.when(F.col("outer").isNotNull(), quote).otherwise(F.col("text"))).select(*chats.columns)
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = link_quotations(table(spark, sf_dir, "conversations"))
+    """All conversations, with quotes of earlier messages put into some replies, without the quotes and in reply order."""
+    out = in_reply_order(link_quotations(quoting_replies(table(spark, sf_dir, "conversations"))))
     return out.select("conv_id", "turn", "role", "own_text", "max_level", "n_passages", "n_quoted_lines", "n_linked_lines", "parent_turn", "branch_depth", "reply_path")
 
 

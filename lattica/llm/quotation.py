@@ -1,11 +1,13 @@
 """Quotation linking: chats without quotes, in reply order. Native DataFrame operations only.
 
-1. Leading ``>`` give each line its quote level; lines of level 0, without the attribution line before a quote, are the
-   message's own text. Runs of quoted lines of one level are passages.
+1. Leading ``>`` give each line its quote level. Runs of quoted lines of one level are passages.
 2. Quoted lines are normalised (A-Z lower-cased, all but letters and digits dropped) and hashed, and joined to the
-   latest earlier message of the conversation that has the line as its own. The message that most characters of the
-   outermost passages come from is the one replied to.
-3. A message that replies to another than the one right before it opens a branch there. The reply path sorts a
+   latest earlier message of the conversation that has the line as its own (level 0). The message that most characters of
+   the outermost linked passages come from is the one replied to.
+3. What is linked goes from the message's own text: the quoted lines that were found, in a message with such lines also
+   the quoted lines without letters or digits, and the attribution line right before a line that goes. Quoted lines that
+   nothing earlier holds stay as they are, marks included, since they may be code or arithmetic, or quote what is not here.
+4. A message that replies to another than the one right before it opens a branch there. The reply path sorts a
    conversation depth first: a branch follows the messages that continue where it leaves, later branches first.
 
 Looking up the latest earlier message is an as-of join. It runs in two levels, within blocks of ``BLOCK`` turns and over
@@ -13,7 +15,7 @@ one row for each block, so a conversation may hold any share of all rows. Only c
 
 Defined results: a null or empty text is an empty message; messages without a turn come first and are linked to nothing;
 rows with the same conversation and turn are all kept and count as one message to link to; a null conversation is one of
-its own; columns that clash with the added ones are replaced.
+its own; columns that clash with the added ones are replaced, all others stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +27,12 @@ from pyspark.sql import functions as F
 from lattica.llm.common import durable, is_empty
 
 BLOCK = 256
-MARK = r"^((?:[ \t]*>)+)[ \t]?"
+#: One class of characters, since groups that repeat use a stack as deep as the line is long.
+MARK = r"^[ \t>]*>[ \t]?"
 #: How mail programs introduce a quote, in four languages.
 ATTRIBUTION = r"^[ \t]*(On .+ wrote|Am .+ schrieb.*|Le .+ a écrit|El .+ escribió)[ \t]*:[ \t\r]*$"
-#: Branches within branches are resolved by doubling, so this allows for 2 ** ROUNDS of them.
-ROUNDS = 20
+#: Branches within branches are resolved by doubling; more rounds than a long has bits mean a fault.
+MAX_ROUNDS = 63
 ADDED = ["own_text", "max_level", "n_passages", "n_quoted_lines", "n_linked_lines", "parent_turn", "branch_depth", "reply_path"]
 
 
@@ -38,25 +41,18 @@ def normalised(line: Column) -> Column:
 
 
 def parsed(messages: DataFrame, text_col: str) -> DataFrame:
-    """``messages`` with _lines: (level, content) of each line, and what comes of them within the message."""
+    """``messages`` with _lattica_lines: (level, line without its marks, raw) of each line, and counts of the quoted ones."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    mark = lambda x: F.regexp_extract(x, MARK, 1)
-    level = lambda x: F.length(F.regexp_replace(mark(x), "[^>]", ""))
-    df = messages.drop(*ADDED, "_raw", "_lines").withColumn("_raw", F.transform(lines, lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, MARK, "").alias("line"))))
-    raw = F.col("_raw")
-    introduces = lambda x, i: (x["level"] == 0) & x["line"].rlike(ATTRIBUTION) & (F.coalesce(F.get(raw, i + 1)["level"], F.lit(0)) > 0)
-    df = df.withColumn("_lines", F.filter(raw, lambda x, i: ~introduces(x, i)))
-    own = F.array_join(F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
-    quoted = F.filter("_lines", lambda x: x["level"] > 0)
-    start = lambda x, i: (x["level"] > 0) & (F.coalesce(F.get(F.col("_lines"), i - 1)["level"], F.lit(0)) != x["level"])
-    plain = F.aggregate("_lines", F.lit(0), lambda a, x: F.greatest(a, x["level"])) == 0
+    level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, MARK, 0), "[^>]", ""))
+    cut = F.transform(lines, lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, MARK, "").alias("line"), x.alias("raw")))
+    df = messages.drop(*ADDED).withColumn("_lattica_lines", cut)
+    at = F.col("_lattica_lines")
+    start = lambda x, i: (x["level"] > 0) & (F.coalesce(F.get(at, i - 1)["level"], F.lit(0)) != x["level"])
     return df.withColumns({
-        # A message without quotes keeps its text as it is.
-        "own_text": F.when(plain, F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.regexp_replace(F.regexp_replace(own, r"\A\s+|\s+\z", ""), r"\n{3,}", "\n\n")),
-        "max_level": F.aggregate("_lines", F.lit(0), lambda a, x: F.greatest(a, x["level"])),
-        "n_passages": F.size(F.filter("_lines", start)),
-        "n_quoted_lines": F.size(quoted),
-    }).drop("_raw")
+        "max_level": F.aggregate(at, F.lit(0), lambda a, x: F.greatest(a, x["level"])),
+        "n_passages": F.size(F.filter(at, start)),
+        "n_quoted_lines": F.size(F.filter(at, lambda x: x["level"] > 0)),
+    })
 
 
 def last_before(rows: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
@@ -73,8 +69,8 @@ def last_before(rows: DataFrame, keys: list[str], order: str, value: str, name:
     return within.join(carried, [*keys, "_block"]).withColumn(name, F.coalesce("_near", "_far")).drop("_block", "_near", "_far")
 
 
-def linked(lines: DataFrame) -> DataFrame:
-    """(c, t, parent, n_linked) for every quoting message from its lines (c, t, level, key)."""
+def known_lines(lines: DataFrame) -> DataFrame:
+    """(c, t, key, n, level, source): the quoted lines of each message, with the latest earlier message that has the line as its own."""
     usable = lines.where(F.col("key") != "").withColumn("hash", F.xxhash64("key"))
     quotes = usable.where("level > 0").groupBy("c", "t", "hash", "key").agg(F.min("level").alias("level"), F.count("*").alias("n"))
     wanted = quotes.select("c", "hash", "key").distinct()
@@ -82,10 +78,33 @@ def linked(lines: DataFrame) -> DataFrame:
     places = originals.withColumn("src", F.col("t")).unionByName(quotes.select("c", "t", "hash", "key").withColumn("src", F.lit(None).cast("long")))
     places = places.groupBy("c", "t", "hash", "key").agg(F.max("src").alias("src"))
     known = last_before(places, ["c", "hash", "key"], "t", "src", "source").where(F.col("source").isNotNull()).select("c", "t", "hash", "key", "source")
-    found = quotes.join(known, ["c", "t", "hash", "key"])
-    outer = found.groupBy("c", "t").agg(F.min("level").alias("outer"), F.sum("n").alias("n_linked"))
-    weights = found.join(outer, ["c", "t"]).where(F.col("level") == F.col("outer")).groupBy("c", "t", "source").agg(F.sum(F.col("n") * F.length("key")).alias("weight"), F.first("n_linked").alias("n_linked"))
-    return weights.groupBy("c", "t").agg(F.max(F.struct("weight", "source")).getField("source").alias("parent"), F.first("n_linked").alias("n_linked"))
+    return quotes.join(known, ["c", "t", "hash", "key"]).select("c", "t", "key", "n", "level", "source")
+
+
+def replied_to(found: DataFrame) -> DataFrame:
+    """(c, t, parent) for every message with linked lines."""
+    outer = found.groupBy("c", "t").agg(F.min("level").alias("outer"))
+    weights = found.join(outer, ["c", "t"]).where(F.col("level") == F.col("outer")).groupBy("c", "t", "source").agg(F.sum(F.col("n") * F.length("key")).alias("weight"))
+    return weights.groupBy("c", "t").agg(F.max(F.struct("weight", "source")).getField("source").alias("parent"))
+
+
+def own_texts(quoting: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, own, n_linked) for the rows (row, c, t, lines) in which a quoted line is linked.
+
+    Lines are joined one by one and put together again by message, so a message of any length stays linear.
+    """
+    lines = quoting.select("row", "c", "t", F.posexplode("lines").alias("i", "x"))
+    lines = lines.select("row", "c", "t", "i", "x.level", "x.raw", F.when(F.col("x.level") > 0, normalised(F.col("x.line"))).alias("key"), F.col("x.line").rlike(ATTRIBUTION).alias("introduces"))
+    met = lines.join(found.select("c", "t", "key", F.lit(True).alias("known")), ["c", "t", "key"], "left")
+    rows = met.groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct("i", "level", "raw", ((F.col("level") > 0) & (F.col("known").isNotNull() | (F.col("key") == ""))).alias("goes"), "introduces"))).alias("l"),
+        F.count(F.when(F.col("known"), 1)).alias("n_linked"),
+    )
+    rows = rows.where("n_linked > 0")
+    next_goes = lambda i: F.coalesce(F.get(F.col("l"), i + 1)["goes"], F.lit(False))
+    left = F.filter("l", lambda x, i: ~(x["goes"] | ((x["level"] == 0) & x["introduces"] & next_goes(i))))
+    text = F.array_join(F.transform(left, lambda x: x["raw"]), "\n")
+    return rows.select("row", F.regexp_replace(F.btrim(text, F.lit(" \t\n\x0b\f\r")), r"\n{3,}", "\n\n").alias("own"), "n_linked")
 
 
 def padded(value: Column) -> Column:
@@ -107,29 +126,35 @@ def branches(turns: DataFrame, links: DataFrame) -> DataFrame:
     up = last_before(events, ["c"], "t", "opened", "up").select("c", (F.col("t") - 1).alias("parent"), "up")
     step = F.concat(F.lit("/1"), padded(-F.col("parent")), padded(F.col("start")))
     out = durable(opened.join(up, ["c", "parent"], "left").select("c", "start", "up", step.alias("prefix"), F.lit(1).alias("depth")), "branch-paths")
-    for _ in range(ROUNDS):
+    for _ in range(MAX_ROUNDS):
         if is_empty(out.where(F.col("up").isNotNull())):
-            break
+            return out
         above = out.select("c", F.col("start").alias("up"), F.col("up").alias("next"), F.col("prefix").alias("first"), F.col("depth").alias("more"))
         joined = out.join(above, ["c", "up"], "left")
         out = durable(joined.select("c", "start", F.col("next").alias("up"), F.concat(F.coalesce("first", F.lit("")), "prefix").alias("prefix"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "branch-paths")
-    return out
+    raise RuntimeError("branches do not end")
 
 
 def link_quotations(messages: DataFrame, conversation_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """``messages`` with own_text, max_level, n_passages, n_quoted_lines, n_linked_lines, parent_turn, branch_depth and reply_path.
 
-    Sorting by conversation and reply_path gives the conversations in reply order.
+    ``in_reply_order`` gives the conversations.
     """
-    df = parsed(messages, text_col).withColumns({"_c": F.coalesce(F.concat(F.lit("="), F.col(conversation_col).cast("string")), F.lit("")), "_t": F.col(turn_col).cast("long")})
-    quoting = durable(df.where((F.col("n_quoted_lines") > 0) & F.col("_t").isNotNull()).select(F.col("_c").alias("c")).distinct(), "quoting")
-    own_path = F.coalesce(padded(F.col("_t")), F.lit(""))
-    if is_empty(quoting):
-        out = df.withColumns({"n_linked_lines": F.lit(0).cast("long"), "parent_turn": F.lit(None).cast("long"), "branch_depth": F.lit(0), "reply_path": F.concat(F.lit("/0"), own_path)})
-        return out.drop("_c", "_t", "_lines")
-    some = df.where(F.col("_t").isNotNull()).select(F.col("_c").alias("c"), F.col("_t").alias("t"), "_lines").join(quoting, "c", "left_semi")
-    lines = some.select("c", "t", F.explode("_lines").alias("x")).select("c", "t", F.col("x.level").alias("level"), normalised(F.col("x.line")).alias("key"))
-    links = durable(linked(lines), "quote-links")
+    place = {"_lattica_c": F.coalesce(F.concat(F.lit("="), F.col(conversation_col).cast("string")), F.lit("")), "_lattica_t": F.col(turn_col).cast("long")}
+    df = parsed(messages.withColumns(place), text_col)
+    columns = [c for c in df.columns if not c.startswith("_lattica_")]
+    own_path, whole = F.coalesce(padded(F.col("_lattica_t")), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
+    quotes = (F.col("n_quoted_lines") > 0) & F.col("_lattica_t").isNotNull()
+    if is_empty(df.where(quotes)):
+        out = df.withColumns({"own_text": whole, "n_linked_lines": F.lit(0).cast("long"), "parent_turn": F.lit(None).cast("long"), "branch_depth": F.lit(0), "reply_path": F.concat(F.lit("/0"), own_path)})
+        return out.select(*columns, *(c for c in ADDED if c not in columns))
+    df = durable(df.withColumn("_lattica_row", F.monotonically_increasing_id()), "messages")
+    quoting = df.where(quotes).select(F.col("_lattica_c").alias("c")).distinct()
+    some = df.where("_lattica_t IS NOT NULL").select(F.col("_lattica_c").alias("c"), F.col("_lattica_t").alias("t"), F.col("_lattica_row").alias("row"), F.col("_lattica_lines").alias("lines"), "n_quoted_lines")
+    some = durable(some.join(quoting, "c", "left_semi"), "quoting")
+    lines = some.select("c", "t", F.explode("lines").alias("x")).select("c", "t", "x.level", normalised(F.col("x.line")).alias("key"))
+    found = durable(known_lines(lines), "known-lines")
+    links = durable(replied_to(found), "quote-links")
     turns = some.select("c", "t").distinct()
     opened = branches(turns, links)
     # Each message belongs to the last branch opened up to its turn.
@@ -137,11 +162,21 @@ def link_quotations(messages: DataFrame, conversation_col: str = "conv_id", turn
     marks = marks.groupBy("c", "t").agg(F.max("opened").alias("opened"))
     held = last_before(marks, ["c"], "t", "opened", "start").select("c", (F.col("t") - 1).alias("t"), "start")
     places = held.join(opened.select("c", "start", "prefix", "depth"), ["c", "start"]).select("c", "t", "prefix", "depth")
-    known = turns.join(links, ["c", "t"], "left").join(places, ["c", "t"], "left").withColumnsRenamed({"c": "_c", "t": "_t"})
-    out = df.join(known, ["_c", "_t"], "left").withColumns({
-        "n_linked_lines": F.coalesce("n_linked", F.lit(0)).cast("long"),
-        "parent_turn": F.col("parent"),
-        "branch_depth": F.coalesce("depth", F.lit(0)),
-        "reply_path": F.concat(F.coalesce("prefix", F.lit("")), F.lit("/0"), own_path),
+    known = turns.join(links, ["c", "t"], "left").join(places, ["c", "t"], "left").withColumnsRenamed({"c": "_lattica_c", "t": "_lattica_t", "parent": "_lattica_parent", "prefix": "_lattica_prefix", "depth": "_lattica_depth"})
+    owned = own_texts(some.where("n_quoted_lines > 0").drop("n_quoted_lines"), found).withColumnsRenamed({"row": "_lattica_row", "own": "_lattica_own", "n_linked": "_lattica_n"})
+    out = df.join(known, ["_lattica_c", "_lattica_t"], "left").join(owned, "_lattica_row", "left").withColumns({
+        "own_text": F.coalesce(F.col("_lattica_own"), whole),
+        "n_linked_lines": F.coalesce("_lattica_n", F.lit(0)).cast("long"),
+        "parent_turn": F.col("_lattica_parent"),
+        "branch_depth": F.coalesce("_lattica_depth", F.lit(0)),
+        "reply_path": F.concat(F.coalesce("_lattica_prefix", F.lit("")), F.lit("/0"), own_path),
     })
-    return out.drop("_c", "_t", "_lines", "parent", "n_linked", "prefix", "depth")
+    return out.select(*columns, *(c for c in ADDED if c not in columns))
+
+
+def in_reply_order(linked: DataFrame, conversation_col: str = "conv_id") -> DataFrame:
+    """The messages of ``link_quotations`` by conversation and, within one, in reply order.
+
+    A sort over all rows, so a conversation may go over many partitions; those with equal paths are in no order.
+    """
+    return linked.orderBy(conversation_col, "reply_path")
