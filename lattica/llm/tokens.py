@@ -2,7 +2,8 @@
 
 Ids are those of ``tokenizers`` on the named file without special tokens added. ``tiktoken`` has the same vocabulary and
 gives the same ids several times faster, so it encodes all texts but those that hold a special token's string, or a
-character whose class (letter, number, blank) may differ between the two libraries' Unicode tables.
+character whose class (letter, number, blank) may differ between the two libraries' Unicode tables, or a run of blanks or
+a word so long that ``tiktoken`` would run out of stack or of time on it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from tokenizers import Tokenizer
 
 JSON, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
+#: Longest run of blanks that ``tiktoken`` is given.
+MAX_RUN = 20_000
+_LONG_RUN = re.compile(rf"\s{{{MAX_RUN}}}")
 
 
 def _agreed() -> re.Pattern:
@@ -52,7 +56,7 @@ class Encoder:
         """Little-endian unsigned 32-bit ids; none for null."""
         if not text:
             return b""
-        if SPECIAL in text or self.disputed.search(text):
+        if SPECIAL in text or self.disputed.search(text) or (len(text) >= MAX_RUN and _LONG_RUN.search(text)):
             ids = self.slow.encode(text, add_special_tokens=False).ids
         else:
             ids = self.quick.encode_ordinary(text)
