@@ -1,15 +1,18 @@
 """WARC replicas and their Merkle fixity audit.
 
 Records are written by Spark's text writer with the record terminator as line separator, which makes each part file a
-valid WARC file, and read as whole files of a bounded number of records. A leaf is the digest of a record's bytes with its
-place; an inner node digests the leaves or nodes of an ordered range of places. Both replicas get such a tree for each
-file and a root over all files; the audit compares roots and goes down only where they differ, so of two equal replicas
-nothing but the roots is compared, and damage is found in as many steps as the tree has levels.
+valid WARC file, and read as whole files: of at most ``RECORDS_PER_FILE`` records of up to ``FILE_BYTES`` / that many
+bytes, or, apart from these, of as many larger records as fit ``FILE_BYTES``, at least one.
+
+A leaf is the digest of a record's bytes with its place; an inner node digests the leaves or nodes of an ordered range of
+places, with whole SHA-256 digests on all levels. Above the files' roots the tree goes on, over ranges of the files'
+names ordered by digest, to one root. The audit compares the roots and goes down only where nodes differ: of two equal
+replicas nothing but the roots is compared, and damage is found in as many steps as the tree has levels.
 
 Groups are bounded by the fan-out; a tree level is one grouped aggregation of digests. No text is ever shuffled.
 
 Defined results: null urls and payloads are empty; null ids are written as ``null``; repeated records are records; an empty
-replica has no root, so that all records of the other are missing or extra.
+replica has no root, so that all records of the other are missing or extra; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from lattica.llm.common import durable, is_empty
 END = "\r\n\r\n"
 #: Children of a node, as bits of its place.
 BITS = 4
-RECORDS_PER_FILE = 512
+RECORDS_PER_FILE, FILE_BYTES = 512, 64 << 20
 LEAVES = T.StructType([
     T.StructField("file", T.StringType()),
     T.StructField("seq", T.LongType()),
@@ -56,9 +59,16 @@ def record(record_id: Column, uri: Column, payload: Column) -> Column:
     return F.concat(*head, body)
 
 
-def write_warc(records: DataFrame, column: str, path: str, per_file: int = RECORDS_PER_FILE) -> None:
-    """Gzipped WARC files of at most ``per_file`` records each."""
-    records.select(F.col(column).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+def write_warc(records: DataFrame, column: str, path: str, per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """Gzipped WARC files below ``path``/small and ``path``/large, of bounded records and bytes; null records are left out."""
+    own = records.select(F.col(column).alias("value")).where(F.col("value").isNotNull())
+    size, bound = F.octet_length("value"), max(1, file_bytes // per_file)
+    most = own.agg(F.max(size)).first()[0] or 0
+    kinds = [("small", own.where(size <= bound), per_file)]
+    if most > bound:
+        kinds.append(("large", own.where(size > bound), max(1, file_bytes // most)))
+    for kind, rows, n in kinds:
+        rows.write.option("lineSep", END).option("maxRecordsPerFile", n).option("compression", "gzip").text(f"{path}/{kind}")
 
 
 _LENGTH = re.compile(rb"\r\nContent-Length: (\d+)", re.I)
@@ -81,7 +91,7 @@ def parse(data: bytes) -> Iterator[tuple[int, int, str, str, bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The leaves of all files below ``path``; a file is named by its part and number, which replicas share."""
+    """The leaves of all files below ``path``; a file is named by its folder, part and number, which replicas share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,8 +102,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=LEAVES.names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"^(part-\d+)-.*-(c\d+).*$", "$1-$2")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    name = F.regexp_replace(F.concat_ws("/", F.slice(F.split("path", "/"), -2, 2)), r"^(.*/part-\d+)-.*-(c\d+).*$", "$1-$2")
     return files.select(name.alias("file"), "content").mapInArrow(run, LEAVES)
 
 
@@ -114,14 +124,16 @@ def file_trees(leaves: DataFrame, levels: int) -> list[DataFrame]:
     return out
 
 
-def roots(files: DataFrame) -> tuple[str | None, int]:
-    """The root over all files, folded from the roots of ranges of names, and their number."""
-    ranges = files.select(F.substring(F.sha2("tree", 256), 1, 3).alias("range"), F.sha2(F.concat_ws(":", "tree", "digest"), 256).alias("digest"))
-    # Digests of a range are combined by a sum in two halves, which needs no order and no list of them.
-    half = lambda i: F.sum(F.conv(F.substring("digest", i, 12), 16, 10).cast("decimal(38,0)"))
-    folded = ranges.groupBy("range").agg(F.sha2(F.concat_ws(":", F.count("*"), half(1), half(13), half(25)), 256).alias("digest"))
-    row = folded.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("range", "digest"))), lambda x: x["digest"]), ","), 256).alias("root"), F.count("*").alias("n")).first()
-    return (row["root"], row["n"]) if row["n"] else (None, 0)
+def name_ranges(files: DataFrame, digits: int) -> list[DataFrame]:
+    """The levels above the files' roots, the root last: ranges of names that share 0 to ``digits`` first digits of their digest."""
+    nodes = files.select(F.sha2("tree", 256).alias("name"), F.sha2(F.concat_ws(":", "tree", "digest"), 256).alias("digest"))
+    out = []
+    for n in range(digits, -1, -1):
+        children = F.sort_array(F.collect_list(F.struct("name", "digest")))
+        digest = F.sha2(F.array_join(F.transform(children, lambda c: F.concat_ws("=", c["name"], c["digest"])), ","), 256)
+        nodes = durable(nodes.groupBy(F.substring("name", 1, n).alias("range")).agg(digest.alias("digest")).withColumnRenamed("range", "name"), "name-ranges")
+        out.append(nodes.select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("place"), "digest"))
+    return out
 
 
 def differing(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -132,21 +144,39 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.where(~F.col("digest").eqNullSafe(F.col("other"))).select(F.coalesce("tree", "t").alias("tree"), F.coalesce("place", "p").alias("place"), status.alias("status"))
 
 
-def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """file, seq and status (corrupt, missing from theirs, extra in theirs) of every record in which the replicas differ."""
-    spark = ours.sparkSession
+def audit(ours: DataFrame, theirs: DataFrame, compared: list[int] | None = None) -> DataFrame:
+    """file, seq and status (corrupt, missing from theirs, extra in theirs) of every record in which the replicas differ.
+
+    ``compared``, if given, is filled with the number of nodes of ours compared on each level, from the root down.
+    """
     tops = [x.agg(F.max("seq").alias("n")).first()["n"] or 0 for x in (ours, theirs)]
     levels = max(1, -(-max(tops).bit_length() // BITS))
     a, b = file_trees(ours, levels), file_trees(theirs, levels)
-    nothing = spark.createDataFrame([], "file string, seq long, status string")
-    if roots(a[-1]) == roots(b[-1]):
+    files = max(x[-1].count() for x in (a, b))
+    digits = -(-max(files - 1, 1).bit_length() // BITS)
+    ranges = list(zip(name_ranges(a[-1], digits), name_ranges(b[-1], digits), strict=True))
+    nothing = ours.sparkSession.createDataFrame([], "file string, seq long, status string")
+
+    def step(left: DataFrame, right: DataFrame) -> DataFrame:
+        if compared is not None:
+            compared.append(left.count())
+        return durable(differing(left, right), "differing")
+
+    found = step(*ranges[-1])
+    for n, (left, right) in enumerate(reversed(ranges[:-1]), 1):
+        if is_empty(found):
+            return nothing
+        under = found.select(F.col("tree").alias("up"))
+        child = F.substring("tree", 1, n - 1) == F.col("up")
+        found = step(left.join(under, child, "left_semi"), right.join(under, child, "left_semi"))
+    if is_empty(found):
         return nothing
-    found = durable(differing(a[-1], b[-1]), "differing")
+    under = found.select(F.col("tree").alias("up"))
+    child = F.substring(F.sha2("tree", 256), 1, digits) == F.col("up")
+    found = step(a[-1].join(under, child, "left_semi"), b[-1].join(under, child, "left_semi"))
     for level in range(levels - 1, -1, -1):
         # Only the children of differing nodes are read and compared.
         under = found.select(F.col("tree").alias("up_tree"), F.col("place").alias("up"))
         child = (F.col("tree") == F.col("up_tree")) & (F.shiftright("place", BITS) == F.col("up"))
-        found = durable(differing(a[level].join(under, child, "left_semi"), b[level].join(under, child, "left_semi")), "differing")
-        if is_empty(found):
-            return nothing
+        found = step(a[level].join(under, child, "left_semi"), b[level].join(under, child, "left_semi"))
     return found.select(F.col("tree").alias("file"), F.col("place").alias("seq"), "status")
