@@ -1,7 +1,7 @@
 """URL filters: host-suffix and path-prefix expressions, joined to the rules by a short hash prefix.
 
-A URL is expanded into every suffix of its host (whole labels) combined with every prefix of its path whose length
-some rule's path has. Each expression is hashed; urls and rules meet in an equi-join on the first ``PREFIX_HEX`` digits,
+A URL is expanded into every suffix of its host (whole labels, no more than the rules' hosts have) combined with every
+prefix of its path whose length some rule's path has. Each expression is hashed; urls and rules meet in an equi-join on the first ``PREFIX_HEX`` digits,
 then the full digest is confirmed and the longest rule wins. Only the page's row number and the expression take part, and
 the reduction to one row per page starts before the shuffle.
 
@@ -65,13 +65,15 @@ def prepared(rules: DataFrame) -> DataFrame:
             F.col("verdict").alias("rule_verdict"),
         ).alias("found"),
         F.length("rule_path").alias("path_length"),
+        F.size(F.split("rule_host", r"\.")).alias("labels"),
     )
 
 
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All (host suffix, path prefix) texts of a URL, as an array."""
+def expressions(host: Column, path: Column, lengths: list[int], most_labels: int) -> Column:
+    """The (host suffix, path prefix) texts of a URL that a rule may have, as an array; no rule's host has more labels."""
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    last = F.slice(labels, F.greatest(F.size(labels) - most_labels + 1, F.lit(1)), F.lit(most_labels))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(last)), lambda i: F.array_join(F.slice(last, i, F.size(last)), "."))
     prefixes = F.filter(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths)), lambda x: x.isNotNull())
     return F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat_ws("\n", s, p)))))
 
@@ -80,7 +82,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     """``pages`` with host, path, rule (null if none fits) and verdict; columns of those names are replaced."""
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     rules = prepared(rules)
-    size = rules.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("path_length")).alias("lengths")).first()
+    size = rules.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("path_length")).alias("lengths"), F.max("labels").alias("labels")).first()
     rows = pages.select(
         F.monotonically_increasing_id().alias("_row"),
         F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_page") if kept else F.lit(None).alias("_page"),
@@ -91,7 +93,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         found = rows.withColumn("found", F.lit(None).cast(rules.schema["found"].dataType))
     else:
         # Without a scheme there is nothing to fit: such rows carry one expression that no rule has.
-        listed = F.when(F.col("host") == "", F.array(F.lit("\n"))).otherwise(expressions(F.col("host"), F.col("path"), size["lengths"]))
+        listed = F.when(F.col("host") == "", F.array(F.lit("\n"))).otherwise(expressions(F.col("host"), F.col("path"), size["lengths"], size["labels"]))
         listed = F.when(F.size(listed) == 0, F.array(F.lit("\n"))).otherwise(listed)
         expanded = rows.select("*", F.explode(listed).alias("expression")).withColumn("digest", F.sha2("expression", 256)).drop("expression")
         meets = (F.substring("digest", 1, PREFIX_HEX) == F.col("rule_prefix")) & (F.col("digest") == F.col("rule_digest"))
