@@ -43,10 +43,8 @@ def vectors(page: Sequence[Leaf]) -> np.ndarray:
                     _path_buckets[token] = k
             row[k] = 1
         words = leaf.text.lower().split()
-        for w in words[:64] if len(words) > 64 else words:  # what a block is about shows early; its text is never cut
-            row[PATH_SIZE + bucket(w, WORD_SIZE)] += 1
         s = PATH_SIZE + WORD_SIZE
-        row[PATH_SIZE:s] /= max(1, min(64, len(words)))
+        row[PATH_SIZE:s] = np.bincount([bucket(w, WORD_SIZE) for w in words], minlength=WORD_SIZE) / len(words) if words else 0
         n = len(leaf.text)
         ends = leaf.text[-1:] in ".!?…\"”"
         row[s:] = (np.log1p(n) / 8, leaf.linked / n, n < 40, n > 200, ends, i / len(page), i == 0, i == len(page) - 1, leaf.text.count(",") / n, len(leaf.path) / 12)

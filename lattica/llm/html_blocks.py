@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag goes on to the first ``>`` outside quoted values; what is open at the end of the page is dropped, as in browsers. No
+#: alternative gives anything back, so a page is read once whatever it holds.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?>[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-zA-Z]+")
 #: Elements whose content is no text of the page, that break blocks, that have no content, and that end what is open.
@@ -24,6 +31,10 @@ SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "main",
 ENDS_P = BLOCK - {"option", "select", "optgroup", "button", "label", "legend", "html", "head", "body", "title", "td", "th", "tr", "caption", "summary"}
 
 
+#: As in browsers' parsers.
+MAX_DEPTH = 512
+
+
 @dataclass(slots=True)
 class Leaf:
     text: str
@@ -37,10 +48,65 @@ def element(tag: str, attributes: str) -> tuple[str, tuple[str, ...]]:
     return tag, (tag, *(f".{w}" for w in dict.fromkeys(words)))
 
 
+class Open:
+    """The open elements, with counts so that every question about them takes one look-up."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.of: Counter[str] = Counter()
+        self.hidden = self.beyond = 0
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        if len(self.stack) >= MAX_DEPTH:
+            self.beyond += 1
+            return
+        self.stack.append((tag, names))
+        self.of[tag] += 1
+        self.hidden += tag in HIDDEN
+
+    def pop(self) -> str:
+        tag = self.stack.pop()[0]
+        self.of[tag] -= 1
+        self.hidden -= tag in HIDDEN
+        return tag
+
+    def end(self, tag: str) -> None:
+        if self.beyond:
+            self.beyond -= 1
+        elif self.of[tag]:
+            while self.pop() != tag:
+                pass
+
+    def close(self, tags: set[str]) -> None:
+        """Pop up to the innermost of these, unless something that holds it together lies in between."""
+        if not any(self.of[t] for t in tags):
+            return
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] in tags:
+                while len(self.stack) > k:
+                    self.pop()
+                self.beyond = 0
+                return
+            if self.stack[k][0] in SCOPE:
+                return
+
+    def show(self) -> None:
+        """A body ends what is hidden."""
+        whole, self.stack = self.stack, []
+        self.of.clear()
+        self.hidden = 0
+        for tag, names in whole:
+            if tag not in HIDDEN:
+                self.push(tag, names)
+
+
 def leaves(html: str | None) -> list[Leaf]:
-    """All visible blocks in page order, references decoded and white space as single blanks."""
+    """All visible blocks in page order, references decoded and white space as single blanks.
+
+    In time linear in the page: a tag path holds the outermost ``MAX_DEPTH`` elements, and text below these belongs to them.
+    """
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    opened = Open()
     text: list[str] = []
     linked = at = 0
     html = html or ""
@@ -52,31 +118,18 @@ def leaves(html: str | None) -> list[Leaf]:
             joined = " ".join("".join(text).split())
             text.clear()
             if joined:
-                out.append(Leaf(joined, tuple(x for _, names in stack if names[0] in BLOCK or len(names) > 1 for x in names), min(linked, len(joined))))
+                out.append(Leaf(joined, tuple(x for _, names in opened.stack if names[0] in BLOCK or len(names) > 1 for x in names), min(linked, len(joined))))
         linked = 0
 
     def say(raw: str) -> None:
         nonlocal linked
-        if raw and not any(t in HIDDEN for t, _ in stack):
+        if raw and not opened.hidden:
             said = unescape(raw) if "&" in raw else raw
             text.append(said)
-            if any(t == "a" for t, _ in stack):
+            if opened.of["a"]:
                 linked += len(said)
 
-    def close(tags: set[str]) -> None:
-        """Pop up to the innermost of these, unless something that holds it together lies in between."""
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                return
-            if stack[k][0] in SCOPE:
-                return
-
-    while at < size:
-        m = TOKEN.search(html, at)
-        if not m:
-            say(html[at:])
-            break
+    for m in iter(lambda: TOKEN.search(html, at), None):
         say(html[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
@@ -87,9 +140,7 @@ def leaves(html: str | None) -> list[Leaf]:
         elif tag == "br":
             text.append(" ")
         if m[1]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            opened.end(tag)
             continue
         if tag in VOID or m[3].endswith("/"):
             continue
@@ -98,11 +149,12 @@ def leaves(html: str | None) -> list[Leaf]:
             at = end.end() if end else size
             continue
         if tag in ENDS_P:
-            close({"p"})
+            opened.close({"p"})
         if tag in CLOSES:
-            close(CLOSES[tag])
+            opened.close(CLOSES[tag])
         if tag == "body":
-            stack[:] = [x for x in stack if x[0] not in HIDDEN]
-        stack.append(element(tag, m[3]))
+            opened.show()
+        opened.push(*element(tag, m[3]))
+    say(html[at:])
     flush()
     return out
