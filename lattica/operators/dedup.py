@@ -95,19 +95,12 @@ def spread_pairs(keys: DataFrame) -> DataFrame:
     return met.where(F.array_min(F.array_intersect("ka", "kb")) == F.col("key")).select("a", "b")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def reason_udf(forms: pd.Series) -> pd.Series:
-    """What a person's forms can score by: c, comparable forms; 1, a bare given name; 2, a word of a longer name."""
-
-    def keys(each: Iterable[str]) -> list[str]:
-        out = set()
-        for form in map(N.Form.of, each):
-            if len(form.core) >= 2:
-                out.add(f"c|{len(form.core)}|{form.suffix or ''}|{' '.join(sorted(form.numbers))}")
-            out.update(f"{min(len(form.tokens), 2)}|{t}" for t in form.tokens)
-        return sorted(out)
-
-    return forms.map(keys)
+def reasons(rows: DataFrame) -> DataFrame:
+    """(id, why, key): what a person's forms can score by: full, comparable forms; bare, a given name alone; word, of a longer name."""
+    forms = rows.where("kind = 'person'").select("id", F.explode("forms").alias("form")).select("id", N.parts(F.col("form")).alias("x"))
+    full = forms.where("x.n >= 2").select("id", F.lit("full").alias("why"), F.concat_ws("|", "x.n", "x.suffix", "x.numbers").alias("key"))
+    words = forms.select("id", F.when(F.size("x.words") == 1, "bare").otherwise("word").alias("why"), F.explode("x.words").alias("key"))
+    return full.union(words).distinct()
 
 
 def ordered(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
@@ -115,6 +108,22 @@ def ordered(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def telling_pairs(keys: DataFrame, rows: DataFrame) -> DataFrame:
+    """The candidate pairs of persons with comparable forms, or with a given name within a longer name."""
+    found = reasons(rows)
+    at = lambda why: found.where(F.col("why") == why).select("id", F.col("key").alias("r"))
+    full, bare, word = at("full"), at("bare"), at("word")
+    full = full.join(full.groupBy("r").count().where("count > 1"), "r", "left_semi").join(keys, "id")
+    bare, word = bare.join(word.select("r").distinct(), "r", "left_semi").join(keys, "id"), word.join(bare.select("r").distinct(), "r", "left_semi").join(keys, "id")
+    return ordered(full, full, ["r", "key"]).union(ordered(bare, word, ["r", "key"]))
+
+
+def shared_forms(rows: DataFrame) -> DataFrame:
+    """(kind, form, id, n) of the forms that more than one row of a kind has."""
+    forms = rows.select("id", "kind", F.explode("forms").alias("form"))
+    return forms.join(forms.groupBy("kind", "form").agg(F.count("*").alias("n")).where("n > 1"), ["kind", "form"])
+
+
 def judged_pairs(keys: DataFrame, rows: DataFrame, minhash: bool, flat: bool) -> DataFrame:
     """The candidate pairs that ``plan`` can act on, made from what a score needs instead of from all pairs of a block.
 
@@ -122,19 +131,12 @@ def judged_pairs(keys: DataFrame, rows: DataFrame, minhash: bool, flat: bool) ->
     share a form and nothing else all score 0 if ``flat``; a group of them that meets no other pair is reduced to runs of
     ``QUEUE_CAP + 1`` ids, which is what the greedy cap keeps of it.
     """
-    reasons = rows.where("kind = 'person'").select("id", F.explode(reason_udf("forms")).alias("r"))
-    at = lambda k: reasons.where(F.col("r").startswith(k)).select("id", F.substring("r", 3, 1 << 20).alias("r"))
-    full, short, long = at("c"), at("1"), at("2")
-    full = full.join(full.groupBy("r").count().where("count > 1"), "r", "left_semi").join(keys, "id")
-    short, long = short.join(long.select("r").distinct(), "r", "left_semi").join(keys, "id"), long.join(short.select("r").distinct(), "r", "left_semi").join(keys, "id")
-    forms = rows.select("id", "kind", F.explode("forms").alias("form"))
-    forms = forms.join(forms.groupBy("kind", "form").agg(F.count("*").alias("n")).where("n > 1"), ["kind", "form"])
-    on = ["kind", "form"]
+    forms, on = shared_forms(rows), ["kind", "form"]
     if not minhash:  # with it, a shared form is a shared band
         forms, on = forms.join(keys, "id"), ["kind", "form", "key"]
     easy = minhash and flat
     other = forms.where("kind != 'person'") if easy else forms
-    pairs = ordered(full, full, ["r", "key"]).union(ordered(short, long, ["r", "key"])).union(ordered(other, other, on)).distinct()
+    pairs = telling_pairs(keys, rows).union(ordered(other, other, on)).distinct()
     if easy:
         pairs, people = durable(pairs, "pairs"), forms.where("kind = 'person'")
         busy = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(people.groupBy("id").count().where("count > 1").select("id")).distinct()
@@ -147,34 +149,64 @@ def judged_pairs(keys: DataFrame, rows: DataFrame, minhash: bool, flat: bool) ->
 
 
 def scored_pairs(pairs: DataFrame, rows: DataFrame, scorer: str = "default") -> DataFrame:
-    score = N.scorer_udf(N.match_probability if scorer == "fs" else N.match_score)
-    left = rows.select(F.col("id").alias("a"), F.col("kind").alias("ka"), F.col("name").alias("na"), F.col("aliases").alias("xa"), F.col("forms").alias("fa"))
-    right = rows.select(F.col("id").alias("b"), F.col("kind").alias("kb"), F.col("name").alias("nb"), F.col("aliases").alias("xb"), F.col("forms").alias("fb"))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.withColumn("score", score("ka", "na", "xa", "kb", "nb", "xb"))
+    """``pairs`` (a, b, each once) with both ends' fields and their score: default, or fs, a probability from summed evidence.
+
+    Names of persons are compared form by form, as rows; the best comparison of a pair counts.
+    """
+    light = F.array_distinct(F.filter(F.transform(F.concat(F.array("name"), "aliases"), lambda x: F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"\s+", " "))), lambda x: x != ""))
+    known = rows.withColumn("light", light)
+    side = lambda e: known.select(F.col("id").alias(e), *(F.col(c).alias(f"{c[0] if c != 'aliases' else 'x'}{e}") for c in ("kind", "name", "aliases", "forms", "light")))
+    joined = durable(pairs.join(side("a"), "a").join(side("b"), "b"), "joined-pairs")
+    person = (F.col("ka") == "person") & (F.col("kb") == "person")
+    met = joined.where(person).select("a", "b", F.explode("fa").alias("x"), "fb").select("a", "b", "x", F.explode("fb").alias("y"))
+    met = met.select("a", "b", N.parts(F.col("x")).alias("x"), N.parts(F.col("y")).alias("y")).withColumn("jw", N.jaro_winkler_udf("x.core", "y.core"))
+    x, y, jw = F.col("x"), F.col("y"), F.col("jw")
+    agree = {"suffix": x["suffix"] == y["suffix"], "numeric": x["numbers"] == y["numbers"]}
+    if scorer == "fs":
+        nearness = F.when(x["core"] == y["core"], "identical_full").when(x["n"] != y["n"], "added_component")
+        for level, bar in (("jw_hi", N.JW_MERGE), ("jw_mid", N.JW_REVIEW), ("jw_low", 0.0)):
+            nearness = nearness.when(jw >= bar, level)
+        worth = N.evidence("name", nearness)
+        for feature, same in agree.items():
+            worth = worth + N.evidence(feature, F.when(same, "agree").otherwise("disagree"))
+        counts = (x["n"] >= 2) & (y["n"] >= 2)
+    else:
+        worth, counts = jw, (x["n"] >= 2) & (x["n"] == y["n"]) & (x["core"] != y["core"]) & agree["suffix"] & agree["numeric"]
+    best = met.groupBy("a", "b").agg(F.max(N.abridges(x, y) | N.abridges(y, x)).alias("short"), F.max(F.when(counts, worth)).alias("worth"))
+    out = joined.join(best, ["a", "b"], "left")
+    same_light, same_form = F.arrays_overlap("la", "lb"), F.arrays_overlap("fa", "fb")
+    if scorer == "fs":
+        name = F.when(person, F.when(F.col("short"), N.evidence("name", "containment")).otherwise(F.coalesce("worth", N.evidence("name", "disjoint"))))
+        name = name.otherwise(N.evidence("name", F.when(same_light, "exact_light").when(same_form, "punct_folded").otherwise("disjoint")))
+        bits = F.when(F.col("ka") != F.col("kb"), N.evidence("kind", "cross")).otherwise(N.evidence("kind", "agree") + name)
+        score = 1 / (1 + F.pow(F.lit(2.0), -bits))
+    else:
+        either = F.when(person, F.when(F.col("short"), N.CONTAINMENT).otherwise(F.coalesce("worth", F.lit(0.0))))
+        score = F.when(F.col("ka") != F.col("kb"), 0.0).otherwise(either.otherwise(F.when(same_light & (F.size("fa") > 0) & (F.size("fb") > 0), 1.0).when(same_form, N.CONTAINMENT).otherwise(0.0)))
+    return out.withColumn("score", score).drop("short", "worth", "la", "lb")
 
 
 def contested(merges: DataFrame) -> DataFrame:
-    """ids with two merge partners that are not merged with each other. ``merges``: a, b."""
-    both = merges.select("a", "b").union(merges.select("b", "a")).toDF("id", "p").distinct()
-    triples = both.join(both.select("id", F.col("p").alias("q")), "id").where(F.col("p") < F.col("q"))
-    closed = merges.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct()
-    return triples.join(closed, ["p", "q"], "left_anti").select("id").distinct()
+    """ids with two merge partners that are not merged with each other. ``merges``: a, b.
 
-
-def capped(queue: Iterable[tuple[float, str, str]], most: int = QUEUE_CAP) -> list[tuple[float, str, str]]:
-    """Greedy by score, at most ``most`` pairs for each end; the order decides, so this is not a window."""
-    used: dict[str, int] = {}
-    out = []
-    for score, a, b in sorted(queue, key=lambda x: (-x[0], x[1], x[2])):
-        if used.get(a, 0) < most and used.get(b, 0) < most:
-            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-            out.append((score, a, b))
-    return out
+    An id is contested if it has fewer triangles than pairs of partners. Triangles are found from their end of least degree,
+    so that hubs are never joined with themselves: the work is at most the edges' number to the power of 1.5.
+    """
+    edges = durable(merges.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).where("p <> q").distinct(), "merge-pairs")
+    degree = edges.select(F.col("p").alias("id")).union(edges.select("q")).groupBy("id").agg(F.count("*").alias("n"))
+    rank = lambda e: degree.select(F.col("id").alias(e), F.struct("n", "id").alias(f"{e}r"))
+    held = edges.join(rank("p"), "p").join(rank("q"), "q")
+    up = held.select(F.least("pr", "qr").getField("id").alias("low"), F.greatest("pr", "qr").alias("high"))
+    pairs = up.select("low", F.col("high").alias("x")).join(up.select("low", F.col("high").alias("y")), "low").where(F.col("x") < F.col("y"))
+    pairs = pairs.select("low", F.least("x.id", "y.id").alias("p"), F.greatest("x.id", "y.id").alias("q"))
+    corners = pairs.join(edges, ["p", "q"], "left_semi").select(F.explode(F.array("low", "p", "q")).alias("id"))
+    triangles = corners.groupBy("id").agg(F.count("*").alias("closed"))
+    open_pairs = F.col("n") * (F.col("n") - 1) / 2 > F.coalesce("closed", F.lit(0))
+    return degree.join(triangles, "id", "left").where(open_pairs).select("id")
 
 
 def trimmed(queue: DataFrame, most: int = QUEUE_CAP) -> DataFrame:
-    """``capped`` over a frame (a, b, score): the greedy choice as a fixed point of rounds.
+    """Greedily by score, at most ``most`` pairs for each end, over a frame (a, b, score): the choice as a fixed point of rounds.
 
     In a round a pair is decided once every better pair at either of its ends is: it is taken if both ends have room. So
     the queue is never gathered; rounds end when nothing is open.

@@ -12,8 +12,8 @@ from lattica.functions.predicates import on_date
 from lattica.sources.durable import durable
 
 MAX_HOPS = 3
-#: Longest chain of merges that flattening follows is 2 ** CHAIN_ROUNDS.
-CHAIN_ROUNDS = 6
+#: A frontier of at most so many stored ids is broadcast: 10 MB of ids and products.
+MAX_BROADCAST = 100_000
 
 
 def survivors(entities: DataFrame) -> DataFrame:
@@ -21,38 +21,29 @@ def survivors(entities: DataFrame) -> DataFrame:
     return entities.select(F.col("id").alias("stored"), F.coalesce("merged_into", "id").alias("survivor"))
 
 
-def edges(claims: DataFrame, entities: DataFrame) -> DataFrame:
-    """(src, dst, confidence) both ways between survivors: the best of parallel claims, none within one survivor.
-
-    One equi-join for each end instead of a join on either end.
-    """
-    dim = survivors(entities)
-    base = claims.where((F.col("polarity") != "retracted") & F.col("object_entity_id").isNotNull()).select("subject_id", "object_entity_id", "confidence")
-    for column, name in (("subject_id", "a"), ("object_entity_id", "b")):
-        base = base.join(dim.select(F.col("stored").alias(column), F.col("survivor").alias(name)), column)
-    base = base.where(F.col("a") != F.col("b")).select("a", "b", "confidence")
-    both = base.union(base.select("b", "a", "confidence")).toDF("src", "dst", "confidence")
-    return both.groupBy("src", "dst").agg(F.max("confidence").cast("float").alias("confidence"))
-
-
 def relationships_to(claims: DataFrame, entities: DataFrame, seed: str, max_hops: int = 2, min_confidence: float = 0.0) -> DataFrame:
     """entity_id, canonical_name, kind, hops and confidence of what is within reach of ``seed``.
 
     Confidences lie in [0, 1], so a cycle never raises a product: the best product for each node and number of hops is
-    enough, and paths are never enumerated. Each hop is a join and a grouped maximum.
+    enough, and paths are never enumerated. A hop meets only the claims at the frontier: the frontier's survivors are
+    expanded to the ids merged into them, which select from the claims before anything is shuffled while they are few.
     """
     if not 1 <= max_hops <= MAX_HOPS or not 0 <= min_confidence <= 1:
         raise ValueError(f"max_hops must be 1 to {MAX_HOPS} and min_confidence 0 to 1")
-    dim = survivors(entities)
-    start = dim.where(F.col("stored") == seed).select(F.col("survivor").alias("node"), F.lit(1.0).cast("float").alias("confidence"))
-    origin = start.select(F.col("node").alias("origin"))
-    graph = edges(claims, entities)
-    frontier, reached = start, []
+    dim = durable(survivors(entities), "survivors")
+    origin = dim.where(F.col("stored") == seed).select(F.col("survivor").alias("node"))
+    bound = claims.where((F.col("polarity") != "retracted") & F.col("object_entity_id").isNotNull())
+    both = F.array(*(F.struct(F.col(x).alias("stored"), F.col(y).alias("other")) for x, y in (("subject_id", "object_entity_id"), ("object_entity_id", "subject_id"))))
+    ends = bound.select(F.explode(both).alias("e"), F.col("confidence").cast("float").alias("claimed")).select("e.*", "claimed")
+    frontier, reached = origin.withColumn("confidence", F.lit(1.0).cast("float")), []
     for hop in range(1, max_hops + 1):
-        step = frontier.select(F.col("node").alias("src"), F.col("confidence").alias("so_far")).join(graph, "src")
-        step = step.select(F.col("dst").alias("node"), (F.col("so_far") * F.col("confidence")).cast("float").alias("confidence")).where(F.col("confidence") >= F.lit(min_confidence).cast("float"))
-        step = step.join(origin, F.col("node") == F.col("origin"), "left_anti")
-        frontier = step.groupBy("node").agg(F.max("confidence").alias("confidence"))
+        members = dim.join(frontier, F.col("survivor") == F.col("node")).select("stored", "node", F.col("confidence").alias("so_far"))
+        members = durable(members, "frontier")
+        members = F.broadcast(members) if members.count() <= MAX_BROADCAST else members
+        step = ends.join(members, "stored").withColumn("confidence", (F.col("so_far") * F.col("claimed")).cast("float")).where(F.col("confidence") >= F.lit(min_confidence).cast("float"))
+        met = step.select(F.col("node").alias("src"), F.col("other").alias("stored"), "confidence").join(dim, "stored")
+        found = met.where(F.col("survivor") != F.col("src")).groupBy(F.col("survivor").alias("node")).agg(F.max("confidence").alias("confidence"))
+        frontier = durable(found.join(origin, "node", "left_anti"), "reached")
         reached.append(frontier.withColumn("hops", F.lit(hop)))
     found = reduce(DataFrame.union, reached).groupBy("node").agg(F.min("hops").alias("hops"), F.max("confidence").alias("confidence"))
     names = entities.select(F.col("id").alias("node"), "canonical_name", "kind")
@@ -82,10 +73,14 @@ def split_candidates(claims: DataFrame, entities: DataFrame, min_degree: int = 5
 
 
 def flatten_chains(entities: DataFrame) -> DataFrame:
-    """(id, terminal, hops) of every merged entity by pointer jumping; those on a cycle have a null terminal."""
+    """(id, terminal, hops) of every merged entity by pointer jumping, however long the chain.
+
+    Entities on a cycle, or that lead into one, have a null terminal: after as many rounds as the number of merged
+    entities has bits, all chains have ended, and what still moves goes round. A pointer to nothing is a terminal.
+    """
     links = entities.where(F.col("merged_into").isNotNull()).select("id", F.col("merged_into").alias("to"), F.lit(1).cast("long").alias("hops"))
     links = durable(links, "chains")
-    for _ in range(CHAIN_ROUNDS):
+    for _ in range(links.count().bit_length()):
         after = links.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"))
         moved = links.join(after, "to", "left")
         if not moved.where(F.col("next").isNotNull()).take(1):
@@ -102,13 +97,17 @@ def chain_violations(entities: DataFrame) -> DataFrame:
     return entities.where(F.col("merged_into").isNotNull()).join(target, F.col("merged_into") == F.col("t"), "left").where(F.col("t").isNull() | F.col("t_into").isNotNull()).select("id", "merged_into")
 
 
-def experience_ids_mentioning(name: str, entities: DataFrame, mentions: DataFrame, kind: str | None = None, depth: int = 3) -> DataFrame:
-    """Experiences that mention an entity of this name or alias, or one merged into it."""
+def experience_ids_mentioning(name: str, entities: DataFrame, mentions: DataFrame, kind: str | None = None) -> DataFrame:
+    """Experiences that mention an entity of this name or alias, or one that was merged into it over any number of steps.
+
+    The entities found so far are written after each step and only new ones go on, so a cycle ends.
+    """
     wanted = name.strip().lower()
     match = (F.lower(F.trim("canonical_name")) == wanted) | F.exists("aliases", lambda a: F.lower(F.trim(a)) == wanted)
-    found = entities.where(match & (F.col("kind") == kind if kind else F.lit(True))).select("id")
-    level = found
-    for _ in range(depth):
-        level = entities.join(level.select(F.col("id").alias("merged_into")), "merged_into", "left_semi").select("id")
+    level = found = durable(entities.where(match & (F.col("kind") == kind if kind else F.lit(True))).select("id").distinct(), "named")
+    losers = entities.where(F.col("merged_into").isNotNull()).select("id", "merged_into")
+    while level.take(1):
+        more = losers.join(level.select(F.col("id").alias("merged_into")), "merged_into", "left_semi").select("id").distinct()
+        level = durable(more.join(found, "id", "left_anti"), "merged")
         found = found.union(level)
-    return mentions.join(found.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_semi").select(F.col("experience_id").alias("id")).distinct()
+    return mentions.join(found.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select(F.col("experience_id").alias("id")).distinct()

@@ -6,6 +6,7 @@ Ties are broken by id everywhere, scores are rounded to six places, and the pres
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,14 +47,12 @@ def vector(m: Memory) -> list[float]:
 
 
 def merge_candidates(m: Memory) -> DataFrame:
-    """Pairs of parts with one name and brand as a review queue; every seventh was ruled apart."""
-    p = m.spark.table("part").select(F.col("p_partkey").alias("k"), "p_name", "p_brand")
-    q = p.toDF("j", "p_name", "q_brand")
-    # Neighbouring keys only, so that the queue is linear in the table.
-    near = p.join(q, ["p_name"]).where((F.col("k") < F.col("j")) & (F.col("j") - F.col("k") <= 64))
+    """A review queue: the first part of each name with each other part of that name; every seventh pair was ruled apart."""
+    p = m.spark.table("part").select(F.col("p_partkey").alias("j"), "p_name")
+    near = p.join(p.groupBy("p_name").agg(F.min("j").alias("k")), "p_name").where("k < j")
     a, b = F.concat(F.lit("p"), F.col("k").cast("string")), F.concat(F.lit("p"), F.col("j").cast("string"))
     return near.select(
-        (F.col("k") * 100000 + F.col("j")).alias("id"), F.least(a, b).alias("entity_a"), F.greatest(a, b).alias("entity_b"), F.lit(0.9).alias("similarity"),
+        (F.col("k") * 100000000 + F.col("j")).alias("id"), F.least(a, b).alias("entity_a"), F.greatest(a, b).alias("entity_b"), F.lit(0.9).alias("similarity"),
         F.when((F.col("k") + F.col("j")) % 7 == 0, "kept_separate").otherwise("pending").alias("status"), F.lit(None).cast("timestamp").alias("created_at"),
     )
 
@@ -94,11 +93,6 @@ def vector_topk(m: Memory) -> DataFrame:
 
 
 def vector_batch_topk(m: Memory) -> DataFrame:
-    queries = m.spark.table("embeddings").where(F.col("vec_id") < 20).select(F.col("vec_id").alias("query_id"), "embedding")
-    return search.vector_batch(m.experiences, queries, 5).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
-
-
-def vector_batch_fiftieth(m: Memory) -> DataFrame:
     """As many queries as the table gives: every row whose id is divisible by 50."""
     queries = m.spark.table("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return search.vector_batch(m.experiences, queries, 5).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -185,13 +179,7 @@ def impact_gate_deferred(m: Memory) -> DataFrame:
 
 
 def provenance_block(m: Memory) -> DataFrame:
-    hits = m.experiences.where("id < 100").select("id")
-    block = search.provenance_block(search.provenance(m.claims, m.claim_sources, hits, 0.6))
-    return block.select("experience_id", F.array_join(F.transform("provenance", lambda c: c["claim_id"].cast("string")), ",").alias("claims"))
-
-
-def provenance_blocks(m: Memory) -> DataFrame:
-    """``provenance_block`` of every experience."""
+    """The claims of every experience."""
     block = search.provenance_block(search.provenance(m.claims, m.claim_sources, m.experiences.select("id"), 0.6))
     return block.select("experience_id", F.array_join(F.transform("provenance", lambda c: c["claim_id"].cast("string")), ",").alias("claims"))
 
@@ -243,19 +231,14 @@ def claim_binding_index(m: Memory) -> DataFrame:
     return resolve.binding_index(m.mentions, m.entities)
 
 
-def token_blocking_pairs(m: Memory) -> DataFrame:
-    """Suppliers and parts; a token of many names, such as a word of every person's name, would pair everything."""
-    return dedup.candidate_pairs(dedup.token_keys(dedup.named(entities(m).where("kind = 'concept' AND length(id) <= 3"))))
-
-
 def token_blocks(m: Memory) -> DataFrame:
     """Token blocking over all unmerged entities: each block with its members, which stand for its pairs."""
-    return dedup.blocks(dedup.token_keys(dedup.named(entities(m))))
+    return dedup.blocks(dedup.token_keys(dedup.named(entities(m)))).select("key", "id", F.col("size").cast("long").alias("size"))
 
 
 def exact_dup_merge_plan(m: Memory) -> DataFrame:
-    out = dedup.plan(entities(m).where("kind = 'concept' AND length(id) <= 3"), minhash=False)
-    return out.where("action = 'merge'").select("loser", "winner", "score")
+    """The merges that the default plan makes of all unmerged entities."""
+    return dedup.plan(entities(m)).where("action = 'merge'").select("loser", "winner", "score")
 
 
 def dedup_plan(m: Memory) -> DataFrame:
@@ -283,12 +266,7 @@ def trigram_similarity_topk(m: Memory) -> DataFrame:
 
 
 def resolve_batch_topk(m: Memory) -> DataFrame:
-    names = m.spark.table("part").where("p_partkey <= 50").select(F.col("p_partkey").alias("query_id"), F.lit("concept").alias("kind"), F.col("p_name").alias("name"))
-    return resolve.resolve_batch(names, entities(m)).select("query_id", "entity_id", F.round(F.col("trgm_score").cast("double"), 5).alias("trgm_score"), F.col("rank").cast("long").alias("rank"))
-
-
-def resolve_batch_fiftieth(m: Memory) -> DataFrame:
-    """The names of the entities of every kind whose number is divisible by 50."""
+    """The names of the entities of every kind whose number is divisible by 50, against all entities."""
     asked = m.entities.where("CAST(substr(id, 2) AS BIGINT) % 50 = 0").select(F.col("id").alias("query_id"), "kind", F.col("canonical_name").alias("name"))
     return resolve.resolve_batch(asked, entities(m)).select("query_id", "entity_id", F.round(F.col("trgm_score").cast("double"), 5).alias("trgm_score"), F.col("rank").cast("long").alias("rank"))
 
@@ -299,25 +277,20 @@ def resolve_entity_ranked(m: Memory) -> DataFrame:
 
 
 def jaro_winkler_pairs(m: Memory) -> DataFrame:
-    p = m.spark.table("part").select("p_name").distinct()
-    names = p.union(m.spark.table("supplier").select("s_name").where("s_suppkey <= 50")).toDF("x")
+    """The distinct names of parts, nations, regions and market segments, each with those of the same two first letters."""
+    columns = {"part": "p_name", "nation": "n_name", "region": "r_name", "customer": "c_mktsegment"}
+    names = reduce(DataFrame.union, [m.spark.table(t).select(F.col(c).alias("x")) for t, c in columns.items()]).distinct()
     pairs = names.select("x", F.substring("x", 1, 2).alias("k")).join(names.select(F.col("x").alias("y"), F.substring("x", 1, 2).alias("k")), "k").where("x < y")
     return pairs.select("x", "y", F.round(jaro_winkler_udf("x", "y"), 6).alias("similarity"))
 
 
-def jaro_winkler_candidates(m: Memory) -> DataFrame:
-    """The distinct names of all unmerged entities, each with those of its kind that share a token with it."""
-    names = dedup.named(entities(m)).select("kind", "name", F.array(X.folded(F.col("name"))).alias("forms")).distinct()
-    pairs = dedup.spread_pairs(dedup.token_keys(names.withColumn("id", F.concat_ws("|", "kind", "name"))))
-    bare = lambda c: F.expr(f"substring({c}, instr({c}, '|') + 1)")
-    x, y = bare("a"), bare("b")
-    return pairs.select(F.substring_index("a", "|", 1).alias("kind"), x.alias("x"), y.alias("y")).withColumn("similarity", F.round(jaro_winkler_udf("x", "y"), 6))
-
-
 def fs_match_probability(m: Memory) -> DataFrame:
-    """Every candidate pair of all unmerged entities, so quadratic in the persons: the word of all their names pairs them."""
+    """The candidate pairs of all unmerged entities that the probabilistic scorer can bring to a review."""
     rows = dedup.named(entities(m))
-    return dedup.scored_pairs(dedup.spread_pairs(dedup.token_keys(rows)), rows, "fs").select("a", "b", F.round("score", 6).alias("score"))
+    keys = dedup.token_keys(rows).distinct()
+    shared = dedup.shared_forms(rows).where("kind <> 'person'").join(keys, "id")
+    pairs = dedup.telling_pairs(keys, rows).union(dedup.ordered(shared, shared, ["kind", "form", "key"])).distinct()
+    return dedup.scored_pairs(pairs, rows, "fs").select("a", "b", F.round("score", 6).alias("score"))
 
 
 def id_set_intersection(m: Memory) -> DataFrame:
@@ -367,11 +340,11 @@ def person_topic_search(m: Memory) -> DataFrame:
 
 
 MADE: list[Callable[[Memory], DataFrame]] = [
-    hybrid_rrf_topk, vector_topk, vector_batch_topk, vector_batch_fiftieth, legacy_threshold_search, list_filtered, recent_feed, day_buckets, recall_window, who_was_at_date, who_was_at_experience, entity_timeline,
+    hybrid_rrf_topk, vector_topk, vector_batch_topk, legacy_threshold_search, list_filtered, recent_feed, day_buckets, recall_window, who_was_at_date, who_was_at_experience, entity_timeline,
     entity_mention_counts, recently_active, summary_counts, top_entities, top_topics, type_histogram, pending_review_counts, low_confidence_queue, contradictions, split_candidates,
-    impact_gate_deferred, provenance_block, provenance_blocks, salience_decay, salience_from_windows, relationships_2hop, relationships_3hop, survivor_flatten, mention_ids_by_name, bbox_contiguous,
-    bbox_antimeridian, activity_typed, orphan_claims, claim_binding_index, token_blocking_pairs, token_blocks, exact_dup_merge_plan, dedup_plan, minhash_blocking_pairs, contested_entities, held_pairs,
-    trigram_similarity_topk, resolve_batch_topk, resolve_batch_fiftieth, resolve_entity_ranked, jaro_winkler_pairs, jaro_winkler_candidates, fs_match_probability, id_set_intersection, orphan_keys_anti, retry_eligibility, retry_pick,
+    impact_gate_deferred, provenance_block, salience_decay, salience_from_windows, relationships_2hop, relationships_3hop, survivor_flatten, mention_ids_by_name, bbox_contiguous,
+    bbox_antimeridian, activity_typed, orphan_claims, claim_binding_index, token_blocks, exact_dup_merge_plan, dedup_plan, minhash_blocking_pairs, contested_entities, held_pairs,
+    trigram_similarity_topk, resolve_batch_topk, resolve_entity_ranked, jaro_winkler_pairs, fs_match_probability, id_set_intersection, orphan_keys_anti, retry_eligibility, retry_pick,
     edit_decision, excerpt_snippet, claim_source_counts, top_people_first_seen, person_topic_search,
 ]
 

@@ -37,16 +37,16 @@ h2 AS (SELECT dst AS node, max(CAST(h1.conf * edges.conf AS FLOAT)) AS conf FROM
 h3 AS (SELECT dst AS node, max(CAST(h2.conf * edges.conf AS FLOAT)) AS conf FROM h2 JOIN edges ON src = node WHERE CAST(h2.conf * edges.conf AS FLOAT) >= CAST(0.6 AS FLOAT) AND dst NOT IN (SELECT id FROM seed) GROUP BY 1)
 """
 CANDIDATES = """
-cand AS (SELECT p.p_partkey * 100000 + q.p_partkey AS id, least('p' || p.p_partkey, 'p' || q.p_partkey) AS entity_a, greatest('p' || p.p_partkey, 'p' || q.p_partkey) AS entity_b,
-  CASE WHEN (p.p_partkey + q.p_partkey) % 7 = 0 THEN 'kept_separate' ELSE 'pending' END AS status
-  FROM part p JOIN part q ON p.p_name = q.p_name AND p.p_partkey < q.p_partkey AND q.p_partkey - p.p_partkey <= 64)
+cand AS (SELECT p.k * 100000000 + q.p_partkey AS id, least('p' || p.k, 'p' || q.p_partkey) AS entity_a, greatest('p' || p.k, 'p' || q.p_partkey) AS entity_b,
+  CASE WHEN (p.k + q.p_partkey) % 7 = 0 THEN 'kept_separate' ELSE 'pending' END AS status
+  FROM (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY 1) p JOIN part q ON p.p_name = q.p_name AND p.k < q.p_partkey)
 """
-FEW = "kind = 'concept' AND length(id) <= 3 AND merged_into IS NULL"
 FOLD = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
-BLOCKS = f"""
-f AS (SELECT DISTINCT id, canonical_name, alias1, unnest([{FOLD.format(x='canonical_name')}, {FOLD.format(x="coalesce(alias1, '')")}]) AS form FROM v_entities WHERE {FEW}),
-tok AS (SELECT DISTINCT id, t FROM (SELECT id, unnest(string_split(form, ' ')) AS t FROM f WHERE form <> '') WHERE length(t) >= 3),
-pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM tok x JOIN tok y ON x.t = y.t AND x.id < y.id)
+FORMS = f"""
+e AS (SELECT id, kind, canonical_name AS n, alias1 AS al FROM v_entities WHERE merged_into IS NULL),
+f AS (SELECT DISTINCT id, kind, form FROM (SELECT id, kind, unnest([{FOLD.format(x='n')}, {FOLD.format(x="coalesce(al, '')")}]) AS form FROM e) WHERE form <> ''),
+lf AS (SELECT DISTINCT id, kind, lf FROM (SELECT id, kind, unnest([trim(regexp_replace(lower(n), '\\s+', ' ', 'g')), trim(regexp_replace(lower(coalesce(al, '')), '\\s+', ' ', 'g'))]) AS lf FROM e) WHERE lf <> ''),
+tok AS (SELECT DISTINCT id, kind, t FROM (SELECT id, kind, unnest(string_split(form, ' ')) AS t FROM f) WHERE length(t) >= 3)
 """
 QUEUE = f"""
 q AS (SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN 'in_progress' WHEN event_id % 4 = 3 THEN 'complete' ELSE 'pending' END AS status, event_id % 4 AS attempts,
@@ -78,7 +78,7 @@ fused AS (SELECT id, max(v) AS v, max(l) AS l, sum(part) AS f FROM (SELECT id, s
 SELECT id, round(v, 6) AS vec_score, round(l, 6) AS lex_score, round(f, 6) AS fused_score FROM fused ORDER BY f DESC, v DESC, l DESC, id LIMIT 10""",
     "vector_topk": f"WITH {VEC} SELECT id, round(s, 6) AS score, rnk AS rank FROM vec WHERE rnk <= 20",
     "vector_batch_topk": f"""
-WITH s AS (SELECT q.vec_id AS query_id, e.id, {cos('e.embedding', 'q.embedding')} AS s FROM embeddings q, v_experiences e WHERE q.vec_id < 20 AND e.embedding IS NOT NULL AND {LIVE}),
+WITH s AS (SELECT q.vec_id AS query_id, e.id, {cos('e.embedding', 'q.embedding')} AS s FROM embeddings q, v_experiences e WHERE q.vec_id % 50 = 0 AND e.embedding IS NOT NULL AND {LIVE}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s WHERE s > 0)
 SELECT query_id, id, round(s, 6) AS score, rank FROM r WHERE rank <= 5""",
     "legacy_threshold_search": f"SELECT id, round(s, 6) AS similarity FROM (SELECT id, {cos('embedding', QVEC)} AS s FROM v_experiences WHERE embedding IS NOT NULL) WHERE s >= 0.1 ORDER BY s DESC, id LIMIT 50",
@@ -135,7 +135,7 @@ SELECT c.id, a.kind = 'concept' AND b.kind = 'concept' AND c.entity_a NOT IN (SE
 FROM cand c JOIN v_entities a ON a.id = c.entity_a JOIN v_entities b ON b.id = c.entity_b LEFT JOIN cnt ca ON ca.s = coalesce(a.merged_into, a.id) LEFT JOIN cnt cb ON cb.s = coalesce(b.merged_into, b.id)""",
     "provenance_block": """
 SELECT s.experience_id, string_agg(CAST(c.id AS VARCHAR), ',' ORDER BY c.confidence DESC NULLS LAST, c.created_at, c.id) AS claims FROM v_claim_sources s JOIN v_claims c ON c.id = s.claim_id
-JOIN v_experiences e ON e.id = s.experience_id AND e.id < 100 WHERE c.polarity <> 'retracted' AND (c.confidence IS NULL OR c.confidence >= 0.6) GROUP BY 1""",
+JOIN v_experiences e ON e.id = s.experience_id WHERE c.polarity <> 'retracted' AND (c.confidence IS NULL OR c.confidence >= 0.6) GROUP BY 1""",
     "salience_decay": f"""
 WITH w AS (SELECT target_id, sum(CASE outcome WHEN 'helpful' THEN 1.0 WHEN 'wrong' THEN -0.5 ELSE 0.0 END * exp(-(epoch_us({NOW}) - epoch_us(recalled_at)) / 1e6 / (30 * 86400))) AS s FROM v_recall_events WHERE target_kind = 'experience' AND recalled_at > {NOW} - INTERVAL 180 DAY GROUP BY 1)
 SELECT t.id, round(CAST(CAST(coalesce(w.s, 0) AS FLOAT) AS DOUBLE), 4) AS salience FROM (SELECT DISTINCT user_id AS id FROM events) t LEFT JOIN w ON w.target_id = t.id""",
@@ -166,12 +166,17 @@ WITH m AS (SELECT DISTINCT n.kind, {FOLD.format(x='m.surface_form')} AS norm, co
 w AS (SELECT kind, norm, min(s) AS entity_id FROM k GROUP BY 1, 2 HAVING count(DISTINCT s) = 1),
 g AS (SELECT kind, split_part(norm, ' ', 1) AS norm, min(s) AS entity_id FROM k WHERE kind = 'person' AND contains(norm, ' ') GROUP BY 1, 2 HAVING count(DISTINCT s) = 1)
 SELECT * FROM w UNION ALL SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.kind = g.kind AND k.norm = g.norm)""",
-    "token_blocking_pairs": f"WITH {BLOCKS} SELECT a, b FROM pairs",
+    "token_blocks": f"""
+WITH {FORMS}, sized AS (SELECT kind, t, count(*) AS size FROM tok GROUP BY ALL HAVING count(*) > 1)
+SELECT 't|' || kind || '|' || t AS key, id, size FROM tok JOIN sized USING (kind, t)""",
     "exact_dup_merge_plan": f"""
-WITH {BLOCKS}, e AS (SELECT id, canonical_name AS n, [canonical_name, alias1] AS names FROM v_entities WHERE {FEW}),
-s AS (SELECT p.a, p.b, x.n AS na, y.n AS nb FROM pairs p JOIN e x ON x.id = p.a JOIN e y ON y.id = p.b
-  WHERE len(list_intersect(list_transform(list_filter(x.names, lambda v: v IS NOT NULL), lambda v: trim(regexp_replace(lower(v), '\\s+', ' ', 'g'))), list_transform(list_filter(y.names, lambda v: v IS NOT NULL), lambda v: trim(regexp_replace(lower(v), '\\s+', ' ', 'g'))))) > 0)
-SELECT CASE WHEN length(na) >= length(nb) THEN b ELSE a END AS loser, CASE WHEN length(na) >= length(nb) THEN a ELSE b END AS winner, CAST(1 AS DOUBLE) AS score FROM s""",
+WITH {FORMS}, s AS (SELECT DISTINCT x.id AS a, y.id AS b FROM lf x JOIN lf y ON x.kind = y.kind AND x.lf = y.lf AND x.id < y.id WHERE x.kind <> 'person'),
+w AS (SELECT s.a, s.b, (x.al IS NOT NULL, length(x.n)) >= (y.al IS NOT NULL, length(y.n)) AS left_wins FROM s JOIN e x ON x.id = s.a JOIN e y ON y.id = s.b)
+SELECT CASE WHEN left_wins THEN b ELSE a END AS loser, CASE WHEN left_wins THEN a ELSE b END AS winner, CAST(1 AS DOUBLE) AS score FROM w""",
+    "fs_match_probability": f"""
+WITH {FORMS}, s AS (SELECT DISTINCT x.id AS a, y.id AS b FROM f x JOIN f y ON x.kind = y.kind AND x.form = y.form AND x.id < y.id JOIN tok t ON t.id = x.id AND contains(' ' || x.form || ' ', ' ' || t.t || ' ') WHERE x.kind <> 'person'),
+l AS (SELECT DISTINCT x.id AS a, y.id AS b FROM lf x JOIN lf y ON x.kind = y.kind AND x.lf = y.lf AND x.id < y.id)
+SELECT s.a, s.b, round(1 / (1 + pow(2.0::DOUBLE, -CASE WHEN l.a IS NOT NULL THEN 9.0::DOUBLE ELSE 2.4 END)), 6) AS score FROM s LEFT JOIN l ON l.a = s.a AND l.b = s.b""",
     "contested_entities": f"""
 WITH {CANDIDATES}, b AS (SELECT entity_a AS id, entity_b AS p FROM cand WHERE status = 'pending' UNION SELECT entity_b, entity_a FROM cand WHERE status = 'pending')
 SELECT DISTINCT x.id FROM b x JOIN b y ON x.id = y.id AND x.p < y.p WHERE NOT EXISTS (SELECT 1 FROM b z WHERE z.id = x.p AND z.p = y.p)""",
@@ -185,13 +190,13 @@ s AS (SELECT id, CAST(greatest({jaccard('e.a', 'q.g')}, {jaccard('e.b', 'q.g')})
 r AS (SELECT id, s, row_number() OVER (ORDER BY s DESC, id) AS rank FROM s WHERE s >= CAST(0.3 AS FLOAT))
 SELECT id, round(CAST(s AS DOUBLE), 5) AS score, rank FROM r WHERE rank <= 50""",
     "resolve_batch_topk": f"""
-WITH q AS (SELECT p_partkey AS query_id, {grams('p_name')} AS g FROM part WHERE p_partkey <= 50),
-e AS (SELECT id, g FROM (SELECT id, {grams('canonical_name')} AS g FROM v_entities WHERE kind = 'concept' AND merged_into IS NULL UNION ALL SELECT id, {grams('alias1')} FROM v_entities WHERE kind = 'concept' AND merged_into IS NULL AND alias1 IS NOT NULL)),
-s AS (SELECT query_id, id, max(CAST({jaccard('e.g', 'q.g')} AS FLOAT)) AS s FROM e, q GROUP BY 1, 2),
+WITH q AS (SELECT id AS query_id, kind, {grams('canonical_name')} AS g FROM v_entities WHERE CAST(substr(id, 2) AS BIGINT) % 50 = 0),
+e AS (SELECT id, kind, {grams('canonical_name')} AS g FROM v_entities WHERE merged_into IS NULL UNION ALL SELECT id, kind, {grams('alias1')} FROM v_entities WHERE merged_into IS NULL AND alias1 IS NOT NULL),
+s AS (SELECT query_id, id, max(CAST({jaccard('e.g', 'q.g')} AS FLOAT)) AS s FROM e JOIN q ON e.kind = q.kind GROUP BY 1, 2),
 r AS (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s WHERE s >= CAST(0.3 AS FLOAT))
 SELECT query_id, id AS entity_id, round(CAST(s AS DOUBLE), 5) AS trgm_score, rank FROM r WHERE rank <= 5""",
     "jaro_winkler_pairs": """
-WITH n AS (SELECT DISTINCT p_name AS x FROM part UNION ALL SELECT s_name FROM supplier WHERE s_suppkey <= 50), p AS (SELECT a.x, b.x AS y FROM n a JOIN n b ON substr(a.x, 1, 2) = substr(b.x, 1, 2) AND a.x < b.x),
+WITH n AS (SELECT p_name AS x FROM part UNION SELECT n_name FROM nation UNION SELECT r_name FROM region UNION SELECT c_mktsegment FROM customer), p AS (SELECT a.x, b.x AS y FROM n a JOIN n b ON substr(a.x, 1, 2) = substr(b.x, 1, 2) AND a.x < b.x),
 j AS (SELECT x, y, jaro_similarity(x, y) AS j, CASE WHEN substr(x, 1, 4) = substr(y, 1, 4) THEN least(4, length(x), length(y)) WHEN substr(x, 1, 3) = substr(y, 1, 3) THEN 3 ELSE 2 END AS k FROM p)
 SELECT x, y, round(j + k * 0.1 * (1 - j), 6) AS similarity FROM j""",
     "id_set_intersection": "SELECT DISTINCT experience_id AS id FROM v_mentions WHERE field = 'people' AND experience_id IN (SELECT experience_id FROM v_mentions WHERE field = 'topics')",

@@ -85,10 +85,19 @@ def test_flatten_chains_and_cycles(spark):
     assert change.audit.count() == 19
     again = lifecycle.flatten(change.tables["entities"], now(), "t")
     assert again.audit.count() == 0 and graph.chain_violations(again.tables["entities"]).count() == 0
+    long = spark.range(1000).selectExpr("concat('e', id) AS id", "'person' AS kind", "'x' AS canonical_name", "array('x') AS aliases", "if(id < 999, concat('e', id + 1), null) AS merged_into")
+    assert graph.flatten_chains(long).where("terminal = 'e999'").count() == 999
     with pytest.raises(ValueError, match="cycle"):
         lifecycle.flatten(entities(spark, ("a", "person", "x", [], "b"), ("b", "person", "x", [], "a")), now(), "t")
 
 
+def test_mentions_of_what_was_merged_over_many_steps(spark):
+    e = entities(spark, *((f"e{i}", "person", f"n{i}", ["Ann"] if i == 9 else [], f"e{i + 1}" if i < 9 else None) for i in range(10)), ("x", "person", "x", [], "y"), ("y", "person", "y", [], "x"))
+    m = spark.createDataFrame([(k, f"e{k}") for k in range(10)] + [(10, "x")], "experience_id long, entity_id string")
+    assert sorted(r.id for r in graph.experience_ids_mentioning("ann ", e, m).collect()) == list(range(10))
+    assert [r.id for r in graph.experience_ids_mentioning("y", e, m, "person").collect()] == [10]
+
+
 def test_split_candidates_count_a_claim_with_itself_once(spark):
     c = claims(spark, *[("a", "a", 1.0)] * 3, *[("a", f"x{i}", 1.0) for i in range(4)])
     got = graph.split_candidates(c, people(spark, "a", *(f"x{i}" for i in range(4)))).collect()
@@ -105,7 +114,13 @@ LABELLED = [
 @pytest.mark.parametrize(("ka", "a", "kb", "b", "same"), LABELLED)
 def test_match_scores(ka, a, kb, b, same):
     assert (N.match_score(ka, [a], kb, [b]) >= N.AUTO_MERGE) == same
-    assert (N.match_probability(ka, [a], kb, [b]) >= N.FS_AUTO) == same
+
+
+def test_match_probabilities(spark):
+    rows = [(f"{side}{k}", kind, name, [], None) for k, (ka, a, kb, b, _) in enumerate(LABELLED) for side, kind, name in (("a", ka, a), ("b", kb, b))]
+    pairs = spark.createDataFrame([(f"a{k}", f"b{k}") for k in range(len(LABELLED))], "a string, b string")
+    got = {r.a: r.score for r in dedup.scored_pairs(pairs, dedup.named(entities(spark, *rows)), "fs").collect()}
+    assert [got[f"a{k}"] >= N.FS_AUTO for k in range(len(LABELLED))] == [x[4] for x in LABELLED]
 
 
 def test_jaro_known_values():
@@ -157,13 +172,22 @@ def test_given_name_of_two_is_queued(spark):
 def test_contested(spark):
     merges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "z"), ("x", "z")], "a string, b string")
     assert [r.id for r in dedup.contested(merges).collect()] == ["b"]
+    r = random.Random(8)
+    pairs = [tuple(r.sample("abcdefghijkl", 2)) for _ in range(24)] + [("hub", f"h{k}") for k in range(40)]
+    near = {x: {q if p == x else p for p, q in pairs if x in (p, q)} for e in pairs for x in e}
+    want = {x for x, ps in near.items() if any(q not in near[p] for p in ps for q in ps if p != q)}
+    assert {x.id for x in dedup.contested(spark.createDataFrame(pairs, "a string, b string")).collect()} == want
 
 
 def test_greedy_cap_matches_rounds(spark):
     r = random.Random(5)
     rows = [(round(r.random(), 3), *sorted(r.sample("abcdefgh", 2))) for _ in range(60)]
     rows = list({(a, b): (s, a, b) for s, a, b in rows}.values())
-    want = dedup.capped(rows, 3)
+    count, want = dict.fromkeys("abcdefgh", 0), []
+    for score, a, b in sorted(rows, key=lambda x: (-x[0], x[1:])):
+        if count[a] < 3 and count[b] < 3:
+            count[a], count[b] = count[a] + 1, count[b] + 1
+            want.append((score, a, b))
     got = dedup.trimmed(spark.createDataFrame([(a, b, s) for s, a, b in rows], "a string, b string, score double"), 3)
     assert sorted((x.score, x.a, x.b) for x in got.collect()) == sorted(want)
 

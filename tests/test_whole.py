@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -38,6 +39,16 @@ def candidates(rows, minhash):
     return {p for ids in blocks.values() for p in itertools.combinations(sorted(ids), 2)}
 
 
+def capped(queue, most):
+    """By falling score, then ids, each pair that finds both its ends below ``most``."""
+    count, kept = Counter(), []
+    for pair in sorted(queue, key=lambda p: (-queue[p], p)):
+        if all(count[end] < most for end in pair):
+            count.update(pair)
+            kept.append(pair)
+    return kept
+
+
 def planned(rows, minhash=True):
     """The plan's merges and queue, from all candidate pairs."""
     merges, queue, short = {}, {}, {}
@@ -58,7 +69,7 @@ def planned(rows, minhash=True):
             for p in held:
                 if p in merges:
                     queue[p] = merges.pop(p)
-    kept = {(a, b) for _, a, b in dedup.capped([(s, a, b) for (a, b), (s, _, _) in queue.items()])}
+    kept = capped({p: v[0] for p, v in queue.items()}, dedup.QUEUE_CAP)
     return {("merge", *p, *v[1:], round(v[0], 6)) for p, v in merges.items()} | {("queue", *p, *queue[p][1:], round(queue[p][0], 6)) for p in kept}
 
 
@@ -89,19 +100,55 @@ def test_plan_matches_all_pairs(spark, seed, minhash):
     assert got == planned({x.id: x for x in dedup.named(e).collect()}, minhash)
 
 
-def test_fs_scores_every_candidate(spark, memory):
+def bits(x, y):
+    """Evidence for a match, by the table of weights, from two rows' names."""
+    light = lambda r: {" ".join(n.lower().split()) for n in [r.name, *r.aliases]}
+    w = N.WEIGHTS["name"]
+    if x.kind != y.kind:
+        return N.WEIGHTS["kind"]["cross"]
+    if x.kind != "person":
+        return w["exact_light"] if light(x) & light(y) else w["punct_folded"] if set(x.forms) & set(y.forms) else w["disjoint"]
+    met = [(N.Form.of(f), N.Form.of(g)) for f in x.forms for g in y.forms]
+    if any(f.shortens(g) or g.shortens(f) for f, g in met):
+        return w["containment"]
+    best = w["disjoint"] if not any(len(f.core) > 1 < len(g.core) for f, g in met) else -math.inf
+    for f, g in met:
+        if len(f.core) > 1 < len(g.core):
+            s = N.jaro_winkler(" ".join(f.core), " ".join(g.core))
+            level = "identical_full" if f.core == g.core else "added_component" if len(f.core) != len(g.core) else "jw_hi" if s >= N.JW_MERGE else "jw_mid" if s >= N.JW_REVIEW else "jw_low"
+            best = max(best, w[level] - 20 * (f.numbers != g.numbers) - 20 * (f.suffix != g.suffix))
+    return best
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_fs_scores_match_the_table(spark, seed):
+    r = random.Random(seed)
+    given, family = ["Ada", "Adam", "Jon", "John", "Karen"], ["Smith", "Smyth", "Hill", "Hills 2", "Lovelace Jr", "Jr"]
+    name = lambda: " ".join([r.choice(given), *r.choices(family, k=r.choice([0, 1, 1, 2]))])
+    rows = [(f"x{i:02}", "person", name(), r.choice([[], ["VIP"], ["++"], [name()]]), None) for i in range(30)] + [("x98", "person", "++", [], None)]
+    rows += [(f"k{i:02}", r.choice(["concept", "org"]), r.choice(["graph db", "Graph  DB", "graph-db", "ab", "C++", "++"]), r.choice([[], ["tool"], ["Tool."], ["++"]]), None) for i in range(20)]
+    named = dedup.named(spark.createDataFrame(rows, ENTITY))
+    by = {x.id: x for x in named.collect()}
+    pairs = list(itertools.combinations(sorted(by), 2))
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    got = {(x.a, x.b): x.score for x in dedup.scored_pairs(frame, named, "fs").collect()}
+    assert got == pytest.approx({(a, b): 1 / (1 + 2.0 ** -bits(by[a], by[b])) for a, b in pairs})
+    plain = {(x.a, x.b): x.score for x in dedup.scored_pairs(frame, named).collect()}
+    assert plain == pytest.approx({(a, b): N.match_score(by[a].kind, [by[a].name, *by[a].aliases], by[b].kind, [by[b].name, *by[b].aliases]) for a, b in pairs})
+
+
+def test_fs_query_holds_every_pair_for_review(spark, memory):
     rows = named(memory)
     got = {(r.a, r.b): r.score for r in catalogue.fs_match_probability(memory).collect()}
-    assert got.keys() == candidates(rows, False)
-    for a, b in random.Random(4).sample(sorted(got), 500):
-        x, y = rows[a], rows[b]
-        assert got[a, b] == pytest.approx(N.match_probability(x.kind, [x.name, *x.aliases], y.kind, [y.name, *y.aliases]), abs=1e-6)
+    probable = lambda a, b: 1 / (1 + 2.0 ** -bits(rows[a], rows[b]))
+    assert got == pytest.approx({p: probable(*p) for p in got}, abs=1e-6)
+    assert {p for p in candidates(rows, False) if probable(*p) >= N.FS_QUEUE} == {p for p, s in got.items() if s >= N.FS_QUEUE}
 
 
 def test_vector_batch_in_blocks(spark, memory, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 3)
     got = {}
-    for r in catalogue.vector_batch_fiftieth(memory).collect():
+    for r in catalogue.vector_batch_topk(memory).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.id, r.score))
     asked = {r.vec_id: r.embedding for r in spark.table("embeddings").where("vec_id % 50 = 0").collect()}
     rows = {r.id: r.embedding for r in memory.experiences.where("superseded_by IS NULL AND deleted_at IS NULL AND embedding IS NOT NULL").collect()}
@@ -118,7 +165,7 @@ def test_vector_batch_in_blocks(spark, memory, monkeypatch):
 
 def test_resolve_batch_asks_for_every_kind(spark, memory):
     got = {}
-    for r in catalogue.resolve_batch_fiftieth(memory).collect():
+    for r in catalogue.resolve_batch_topk(memory).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.entity_id, r.trgm_score))
     gram = lambda x: {f"  {w} "[i : i + 3] for w in re.split("[^a-z0-9]+", x.lower()) if w for i in range(len(w) + 1)}
     rows = [(r.id, r.kind, [gram(n) for n in (r.canonical_name, r.alias1) if n]) for r in memory.entities.where("merged_into IS NULL").collect()]
@@ -138,18 +185,10 @@ def test_provenance_of_every_experience(spark, memory):
         if r.experience_id in ids and r.claim_id in claims:
             want.setdefault(r.experience_id, []).append(claims[r.claim_id])
     key = lambda c: (c.confidence is None, -(c.confidence or 0), c.created_at, c.id)
-    got = {r.experience_id: r.claims for r in catalogue.provenance_blocks(memory).collect()}
+    got = {r.experience_id: r.claims for r in catalogue.provenance_block(memory).collect()}
     assert got == {e: ",".join(str(c.id) for c in sorted(x, key=key)) for e, x in want.items()} and max(got) >= 100
 
 
-def test_jaro_winkler_of_all_names(spark, memory):
-    names = {(r.kind, r.name) for r in named(memory).values()}
-    tokens = lambda n: {t for t in N.folded(n).split() if len(t) >= 3}
-    want = {(k, x, y): round(N.jaro_winkler(x, y), 6) for (k, x), (j, y) in itertools.combinations(sorted(names), 2) if k == j and tokens(x) & tokens(y)}
-    assert {(r.kind, r.x, r.y): r.similarity for r in catalogue.jaro_winkler_candidates(memory).collect()} == pytest.approx(want, abs=1e-6)
-    assert {k for k, _, _ in want} == {"person", "org", "concept"}
-
-
 def test_minhash_bands_hold_every_pair(spark, memory):
     bands, want = {}, {}
     for r in catalogue.minhash_blocking_pairs(memory).collect():
