@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -9,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.lexical import lexical_channel
-from lattica.functions.parsing import hashing_embedder
-from lattica.operators import aggregates, dedup, graph, lifecycle, listings, resolve, review, search
+from lattica.functions.parsing import hashing_embedder, participants
+from lattica.operators import aggregates, dedup, flows, graph, lifecycle, listings, resolve, review, search
+from lattica.sources.durable import durable
 
 #: Defaults and bounds of the tools.
 LIMIT, RECALL_DAYS, RECALL_LIMIT, TOP_K, HOPS, FLOOR = 10, 7, 20, 5, 2, 0.6
@@ -28,6 +30,8 @@ class MemoryGraph:
     now: Callable[[], Column] = F.current_timestamp
     viewer: str | None = None
     actor: str = "lattica"
+    new_id: Callable[[], str] = field(default=lambda: uuid.uuid4().hex)
+    extract: Callable[[str], dict] | None = None
 
     def t(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -73,7 +77,7 @@ class MemoryGraph:
         return listings.entity_detail(entity, *(self.t(n) for n in ("entities", "claims", "sources", "mentions", "experiences")), self.viewer)
 
     def recall_recent(self, days: int = RECALL_DAYS, source_kind: str | None = None, query: str | None = None, limit: int = RECALL_LIMIT) -> DataFrame:
-        return search.recall_recent(self.t("experiences"), self.now(), days, self.viewer, source_kind, query, list(self.embed(query)) if query else None, min(max(limit, 1), 100))
+        return search.recall_recent(self.t("experiences"), self.now(), days, self.viewer, source_kind, query, list(self.embed(query)) if query else None, min(max(limit, 1), 100), lexical=lexical_channel)
 
     def who_was_at(self, experience=None, day: str | None = None) -> DataFrame:
         return graph.who_was_at(self.t("experiences"), self.t("mentions"), self.t("entities"), experience, F.lit(day).cast("date") if day else None)
@@ -138,3 +142,44 @@ class MemoryGraph:
 
     def set_visibility(self, experience, visibility: str) -> lifecycle.Change:
         return lifecycle.set_visibility(self.t("experiences"), experience, visibility, self.viewer, self.now(), self.actor)
+
+    def capture_thought(self, experience, content: str, **options) -> lifecycle.Change:
+        """``options``: what :func:`lattica.operators.flows.capture` takes; participants may be text."""
+        if "participants" in options:
+            options["participants"] = participants(options["participants"])
+        return flows.capture(self.tables, experience, content, list(self.embed(content)), self.now(), self.new_id, self.viewer, client=self.actor, extract=self.extract, **options)
+
+    def upsert_thought(self, experience, content: str, metadata: dict) -> DataFrame:
+        self.tables["experiences"], row = flows.upsert_thought(self.t("experiences"), experience, content, metadata, list(self.embed(content)), self.now())
+        return row
+
+    def propose_correction(self, id, target_kind: str, target_id: str, change: dict, reason: str | None = None) -> None:
+        self.tables["corrections"] = flows.propose_correction(self.t("corrections"), id, target_kind, target_id, change, reason)
+
+    def resolve_correction(self, id, decision: str, reason: str | None = None) -> lifecycle.Change:
+        return flows.resolve_correction(self.tables, id, decision, self.new_id(), self.now(), self.actor, reason)
+
+    def resolve_merge_candidate(self, id, decision: str, winner: str | None = None, reason: str = "") -> lifecycle.Change:
+        return flows.resolve_merge_candidate(self.t("entities"), self.t("candidates"), id, decision, winner, self.now(), self.actor, reason)
+
+    def request_disambiguation(self, question: str, options: list[dict], context: dict | None = None) -> str:
+        token = self.new_id()
+        self.tables["disambiguations"] = flows.request_disambiguation(self.t("disambiguations"), token, question, options, context)
+        return token
+
+    def resolve_disambiguation(self, token: str, choice) -> lifecycle.Change:
+        return flows.resolve_disambiguation(self.tables, token, choice, self.new_id(), self.now(), self.actor)
+
+    def split_mention(self, entity: str, target: dict, experience, surface: str, field: str = "people", reason: str = "") -> lifecycle.Change:
+        return flows.split_mention(self.t("entities"), self.t("mentions"), entity, target, experience, surface, field, reason, self.now(), self.actor)
+
+    def split_claims(self, entity: str, target: dict, experience, reason: str = "") -> lifecycle.Change:
+        return flows.split_claims(*(self.t(n) for n in ("entities", "claims", "sources")), entity, target, experience, reason, self.now(), self.actor)
+
+    def dedup_entities(self, apply: bool = False, kind: str | None = None, scorer: str = "default") -> tuple[DataFrame, lifecycle.Change | None]:
+        """The plan's counts by kind and action and, to be applied, its change."""
+        held = dedup.held_pairs(self.t("candidates"), self.t("entities"))
+        some = self.t("entities").where(F.col("kind") == kind) if kind else self.t("entities")
+        plan = durable(dedup.plan(some, scorer, held=held), "dedup-plan")
+        change = flows.apply_dedup(self.t("entities"), self.t("candidates"), plan, self.now(), self.actor) if apply else None
+        return flows.dedup_counts(plan, self.t("entities")), change

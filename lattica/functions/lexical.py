@@ -6,6 +6,7 @@ Texts are matched in Arrow batches; a substring test on the query's stems, done
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -162,25 +163,30 @@ def _holds(phrase: tuple[tuple[str, int], ...], places: dict[str, Sequence[int]]
 
 
 def cover_density(query: Query, places: dict[str, list[int]]) -> float:
-    """The sum over minimal covers, each the less the more other words lie within it."""
-    entries = sorted((k, s) for s in query.terms for k in places.get(s, ()))
-    positive = Query([(need, []) for need, _ in query.groups if need])
-    total, at = 0.0, 0
-
-    def held(a: int, b: int) -> bool:
-        some: dict[str, list[int]] = {}
-        for k, s in entries[a : b + 1]:
-            some.setdefault(s, []).append(k)
-        return positive.matches(some)
-
-    while at < len(entries):
-        end = next((e for e in range(at, len(entries)) if held(at, e)), None)
-        if end is None:
-            break
-        begin = next(b for b in range(end, at - 1, -1) if held(b, end))
-        noise = entries[end][0] - entries[begin][0] - (end - begin)
-        total += WEIGHT / (1 + noise)
-        at = begin + 1
+    """The sum over minimal covers, each the less the more other words lie within it.
+
+    Every phrase has a sorted list of the places where it begins. For each place a cover may begin at, its earliest end is
+    the latest over a group's phrases of each one's next occurrence, found by bisection; the covers are those that
+    no later one lies within. So the work grows with the places, whatever lies between them.
+    """
+    groups = []
+    for need, _ in query.groups:
+        held = [sorted(set.intersection(*({k - d for k in places.get(s, ())} for s, d in p))) for p in need]
+        if need and all(held):
+            groups.append([(p[-1][1], at) for p, at in zip(need, held, strict=True)])
+    begins = sorted({k for group in groups for _, at in group for k in at})
+    words = sorted({k for s in query.terms for k in places.get(s, ())})
+    total, later = 0.0, None
+    for begin in reversed(begins):
+        ends = []
+        for group in groups:
+            following = [(bisect_left(at, begin), at, width) for width, at in group]
+            if all(i < len(at) for i, at, _ in following):
+                ends.append(max(at[i] + width for i, at, width in following))
+        if ends and (later is None or min(ends) < later):
+            later = min(ends)
+            inside = bisect_right(words, later) - bisect_left(words, begin)
+            total += WEIGHT / (1 + (later - begin) - (inside - 1))
     return total
 
 

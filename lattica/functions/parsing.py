@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from datetime import datetime
 from typing import Any
 
 import pandas as pd
@@ -70,6 +71,44 @@ def promoted_location(metadata: Column) -> tuple[Column, Column]:
     return F.when(inside, lat), F.when(inside, lng)
 
 
+def listed_strings(raw: str | None) -> list[str]:
+    """A field that is a JSON list or a comma-separated one: its trimmed, non-blank items. Other JSON is refused."""
+    text = (raw or "").strip()
+    items = json.loads(text) if text.startswith("[") else text.split(",")
+    return [x for x in (str(i).strip() for i in items) if x]
+
+
+def participants(given: str | list | None) -> list[dict] | None:
+    """People as dictionaries with a name: from a JSON list of names or of dictionaries, or from comma-separated names."""
+    if isinstance(given, str):
+        given = json.loads(given) if given.strip().startswith("[") else listed_strings(given)
+    people = [x if isinstance(x, dict) else {"name": x} for x in given or []]
+    if not all(isinstance(p.get("name"), str) and p["name"].strip() for p in people):
+        raise ValueError("every person needs a name")
+    return [{**p, "name": p["name"].strip()} for p in people] or None
+
+
+def moment(raw: str | None) -> str | None:
+    """An ISO 8601 time as it was given, or none."""
+    text = (raw or "").strip()
+    if text:
+        datetime.fromisoformat(text)
+    return text or None
+
+
+def location(lat: str | None, lng: str | None) -> dict | None:
+    """Both coordinates, finite and on the globe, or none of them."""
+    given = [(x or "").strip() for x in (lat, lng)]
+    if not any(given):
+        return None
+    if not all(given):
+        raise ValueError("lat and lng go together")
+    north, east = map(float, given)
+    if not (abs(north) <= 90 and abs(east) <= 180):
+        raise ValueError("lat or lng is out of range")
+    return {"lat": north, "lng": east}
+
+
 def intersect_in_order(first: list, *others: list) -> list:
     """Ids that are in all lists, in the order of the first."""
     sets = [set(o) for o in others]

@@ -81,15 +81,28 @@ def unmerge(entities: DataFrame, events: DataFrame, candidates: DataFrame | None
     back = audit_rows(marked.where("_back"), "entity", "id", {"merged_into": F.col("merged_into")}, {"merged_into": F.lit(entity)}, F.lit(f"restored by unmerge of {entity}"), now, by)
     tables = {"entities": after}
     if candidates is not None:
-        # The merge was decided between this entity and what it was first merged into, which later merges moved on.
-        first = events.where((F.col("target_kind") == "entity") & (F.col("target_id") == entity) & F.get_json_object("after", "$.merged_into").isNotNull() & F.get_json_object("after", "$.compressed_via").isNull())
-        found = first.orderBy(F.desc("created_at")).select(F.get_json_object("after", "$.merged_into").alias("w")).limit(1).collect()
-        other = found[0]["w"] if found else winner
+        other = decided_partner(events, entity, winner)
         reopened = (F.col("entity_a") == min(entity, other)) & (F.col("entity_b") == max(entity, other)) & (F.col("status") == "merged")
         tables["candidates"] = candidates.withColumns({"resolved_at": F.when(reopened, F.lit(None)).otherwise(F.col("resolved_at")), "status": F.when(reopened, "pending").otherwise(F.col("status"))})
     return Change(tables, own.unionByName(back))
 
 
+def decided_partner(events: DataFrame, entity: str, winner: str) -> str:
+    """Whom ``entity`` was judged against, back from what it points to now.
+
+    Each later merge that moved the pointer on left an event with the pointer it wrote and the entity it went past. Of one
+    entity's events, which are written by hand or one for each merge, at most ``LINEAGE`` steps are followed.
+    """
+    after = lambda k: F.get_json_object("after", f"$.{k}")
+    moves = events.where((F.col("target_kind") == "entity") & (F.col("target_id") == entity) & after("compressed_via").isNotNull())
+    past = {r["to"]: r["via"] for r in moves.groupBy(after("merged_into").alias("to")).agg(F.max_by(after("compressed_via"), "created_at").alias("via")).collect()}
+    for _ in range(LINEAGE):
+        if winner not in past:
+            break
+        winner = past[winner]
+    return winner
+
+
 def flatten(entities: DataFrame, now: Column, by: str) -> Change:
     """Point every merged entity at its terminal survivor; refuses cycles."""
     ends = flatten_chains(entities)
@@ -243,21 +256,18 @@ def resolved(rows: DataFrame, key: str, value, status: str, now: Column, allowed
 
 
 def match_choice(options: list, choice) -> int:
-    """The option that a choice means: its index, its label, or itself."""
+    """The option that a choice means: its index, its label, or an option with that label; labels are compared as they are."""
     if isinstance(choice, bool):
         raise ValueError("a choice is an index, a label or an option")
     if isinstance(choice, int):
         if not 0 <= choice < len(options):
             raise ValueError("no such option")
         return choice
-    for k, option in enumerate(options):
-        if option == choice or isinstance(option, dict) and isinstance(choice, str) and light_text(str(option.get("label", ""))) == light_text(choice):
-            return k
-    raise ValueError("no such option")
-
-
-def light_text(text: str) -> str:
-    return " ".join(text.lower().split())
+    label = choice.get("label") if isinstance(choice, dict) else choice
+    found = [k for k, option in enumerate(options) if isinstance(label, str) and option.get("label") == label]
+    if not found:
+        raise ValueError("no such option")
+    return found[0]
 
 
 def claims_to_write(claims: DataFrame, index: DataFrame, concept_scores: DataFrame | None = None, bar: float = 0.85) -> DataFrame:

@@ -21,6 +21,17 @@ def page_with_more(ordered: DataFrame, limit: int, offset: int = 0) -> tuple[lis
     return rows[:limit], more, offset + limit if more else None
 
 
+def counted_page(ordered: DataFrame, limit: int, offset: int = 0) -> tuple[DataFrame, int, bool]:
+    """A page, the number of all rows, and whether that is more than the page reaches."""
+    total = ordered.count()
+    return page(ordered, limit, offset), total, offset + limit < total
+
+
+def thoughts(experiences: DataFrame) -> DataFrame:
+    """The plain view of experiences, deleted and superseded ones included; ``createOrReplaceTempView`` gives it a name."""
+    return experiences.select("id", "content", "embedding", "metadata", F.col("captured_at").alias("created_at"))
+
+
 def list_thoughts(experiences: DataFrame, now: Column, viewer: str | None = None, type: str | None = None, topic: str | None = None, person: str | None = None, days: int | None = None, limit: int = 10) -> DataFrame:
     """Newest first; deleted and superseded ones are listed, too."""
     conditions = [visible(viewer)]
@@ -68,7 +79,8 @@ def entity_detail(entity: str, entities: DataFrame, claims: DataFrame, sources:
 
 
 def experience_detail(experience: int, experiences: DataFrame, mentions: DataFrame, entities: DataFrame, claims: DataFrame, sources: DataFrame, viewer: str | None = None) -> dict[str, DataFrame]:
-    row = experiences.where((F.col("id") == experience) & visible(viewer)).withColumn("is_live", live())
+    own = F.lit(viewer is None) | F.coalesce(F.col("owner") == F.lit(viewer), F.lit(False))
+    row = experiences.where((F.col("id") == experience) & visible(viewer)).withColumns({"is_live": live(), "can_change_visibility": own})
     people = mentions.where(F.col("experience_id") == experience).join(entities.select(F.col("id").alias("entity_id"), "canonical_name", "kind"), "entity_id").orderBy("field", "canonical_name", "entity_id")
     links = sources.where(F.col("experience_id") == experience)
     named = entities.select(F.col("id").alias("object_entity_id"), F.col("canonical_name").alias("object_name"))

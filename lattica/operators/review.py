@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lattica.functions.text import actor, change_type, snippet
 from lattica.operators.aggregates import survivor_mention_counts
 from lattica.operators.graph import split_candidates
+from lattica.sources.durable import durable
 
 #: What counts as low confidence, and how long a queue is.
 LOW_CONFIDENCE, QUEUE = 0.6, 200
@@ -38,10 +39,11 @@ def low_impact(candidates: DataFrame, entities: DataFrame, claims: DataFrame, me
     active = claims.where(F.col("polarity") != "retracted")
     touched = active.select(F.col("subject_id").alias("id")).union(active.select("object_entity_id")).dropna().distinct().withColumn("claimed", F.lit(True))
     counts = survivor_mention_counts(mentions, entities)
+    ends = candidates.select(F.col("entity_a").alias("id")).union(candidates.select("entity_b")).distinct()
+    known = durable(kinds.join(ends, "id", "left_semi").join(touched, "id", "left").join(counts, "survivor", "left"), "candidate-ends")
     df = candidates
     for end in ("a", "b"):
-        dim = kinds.join(touched, "id", "left").join(counts, "survivor", "left")
-        dim = dim.select(F.col("id").alias(f"entity_{end}"), F.col("kind").alias(f"kind_{end}"), F.coalesce("claimed", F.lit(False)).alias(f"claimed_{end}"), F.coalesce("n", F.lit(0)).alias(f"n_{end}"))
+        dim = known.select(F.col("id").alias(f"entity_{end}"), F.col("kind").alias(f"kind_{end}"), F.coalesce("claimed", F.lit(False)).alias(f"claimed_{end}"), F.coalesce("n", F.lit(0)).alias(f"n_{end}"))
         df = df.join(dim, f"entity_{end}")
     quiet = (F.col("kind_a") == "concept") & (F.col("kind_b") == "concept") & ~F.col("claimed_a") & ~F.col("claimed_b") & (F.col("n_a") <= 1) & (F.col("n_b") <= 1)
     return df.withColumn("deferred", quiet).select(*candidates.columns, "deferred")
@@ -116,3 +118,14 @@ def activity(events: DataFrame, experiences: DataFrame, entities: DataFrame, cla
     for dim, key in ((text, "_experience"), (name, "_entity"), (winner, "_winner"), (said, "_claim")):
         rows = rows.join(dim, key, "left")
     return rows.drop("_experience", "_entity", "_winner", "_claim").orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def sources_by_kind(claims: DataFrame, sources: DataFrame, experiences: DataFrame, kind: str | None = None) -> DataFrame:
+    """(experience_id, claim_id, support_kind) of the asserted claims that ``experiences`` (id) support; of one kind if given.
+
+    With ``paraphrased`` these are the claims that an edit may ask to retract: only they survive a new wording by themselves.
+    """
+    here = sources.join(experiences.select(F.col("id").alias("experience_id")).distinct(), "experience_id", "left_semi")
+    here = here.where(F.col("support_kind") == kind) if kind else here
+    asserted = claims.where("polarity = 'asserted'").select(F.col("id").alias("claim_id"))
+    return here.join(asserted, "claim_id", "left_semi").select("experience_id", "claim_id", "support_kind")

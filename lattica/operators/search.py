@@ -81,7 +81,7 @@ def by_similarity(experiences: DataFrame, embedding: Sequence[float], threshold:
     return df.select("id", "content", "metadata", similarity.alias("similarity"), F.col("captured_at").alias("created_at")).where(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), "id").limit(limit)
 
 
-def recall_recent(experiences: DataFrame, now: Column, days: int = 7, viewer: str | None = None, source_kind: str | None = None, query: str | None = None, embedding: Sequence[float] | None = None, limit: int = 20, window: int = 500) -> DataFrame:
+def recall_recent(experiences: DataFrame, now: Column, days: int = 7, viewer: str | None = None, source_kind: str | None = None, query: str | None = None, embedding: Sequence[float] | None = None, limit: int = 20, window: int = 500, lexical: Callable[[DataFrame, str], DataFrame] = token_channel) -> DataFrame:
     """The newest of a window of days, or the best of the window's newest 500 for a query."""
     if days <= 0:
         raise ValueError("days must be positive")
@@ -89,7 +89,7 @@ def recall_recent(experiences: DataFrame, now: Column, days: int = 7, viewer: st
     df = df.where(F.col("source_kind") == source_kind) if source_kind else df
     newest = df.orderBy(F.desc("captured_at"), "id")
     if query:
-        return hybrid(experiences, query, embedding, limit, ids=newest.limit(window).select("id"), viewer=viewer)
+        return hybrid(experiences, query, embedding, limit, ids=newest.limit(window).select("id"), viewer=viewer, lexical=lexical)
     zero = [F.lit(0.0).alias(c) for c in ("vec_score", "lex_score", "fused_score")]
     return newest.limit(min(limit, window)).select(*HIT, *zero)
 

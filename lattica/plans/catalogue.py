@@ -8,55 +8,22 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import text as X
 from lattica.functions.names import jaro_winkler_udf
 from lattica.operators import aggregates, dedup, graph, lifecycle, listings, resolve, review, search
+from lattica.plans import changes
+from lattica.plans.base import EARLY, SEED, WORDS, entities, merge_candidates, now, r6, vector
 from lattica.plans.oracles import SQL
 from lattica.session import configure
 from lattica.sources.durable import orphan_keys
-from lattica.sources.views import AS_OF, Memory, oracle
+from lattica.sources.views import Memory, oracle
 from lattica.streaming import consolidation, salience
 
 #: The query that ``entry`` runs.
 FLAGSHIP = "hybrid_rrf_topk"
-#: What the search queries look for: two words, and the vector of one item.
-WORDS, VECTOR = "the of", 3
-SEED = "c1"
-#: While the first experiences came in.
-EARLY = "2024-01-03 12:00:00"
-
-
-def now(at: str = AS_OF) -> Column:
-    return F.expr(f"TIMESTAMP_NTZ '{at}'")
-
-
-def r6(*names: str) -> dict:
-    return {n: F.round(F.col(n).cast("double"), 6) for n in names}
-
-
-def entities(m: Memory) -> DataFrame:
-    """With aliases as an array."""
-    return m.entities.withColumn("aliases", F.filter(F.array("alias1"), lambda a: a.isNotNull())).withColumn("embedding", F.lit(None).cast("array<float>"))
-
-
-def vector(m: Memory) -> list[float]:
-    return m.spark.table("embeddings").where(F.col("vec_id") == VECTOR).select("embedding").first()[0]
-
-
-def merge_candidates(m: Memory) -> DataFrame:
-    """A review queue: the first part of each name with each other part of that name; every seventh pair was ruled apart."""
-    p = m.spark.table("part").select(F.col("p_partkey").alias("j"), "p_name")
-    near = p.join(p.groupBy("p_name").agg(F.min("j").alias("k")), "p_name").where("k < j")
-    a, b = F.concat(F.lit("p"), F.col("k").cast("string")), F.concat(F.lit("p"), F.col("j").cast("string"))
-    return near.select(
-        (F.col("k") * 100000000 + F.col("j")).alias("id"), F.least(a, b).alias("entity_a"), F.greatest(a, b).alias("entity_b"), F.lit(0.9).alias("similarity"),
-        F.when((F.col("k") + F.col("j")) % 7 == 0, "kept_separate").otherwise("pending").alias("status"), F.lit(None).cast("timestamp").alias("created_at"),
-    )
-
-
 def audit_events(m: Memory) -> DataFrame:
     """An audit log made of events: each type stands for a kind of change."""
     t, n = F.col("event_type"), F.col("event_id").cast("string")
@@ -333,9 +300,9 @@ def top_people_first_seen(m: Memory) -> DataFrame:
 
 
 def person_topic_search(m: Memory) -> DataFrame:
-    """Experiences that mention both a person and a part by name, by closeness to a vector."""
-    one = m.mentions.where("field = 'people'").orderBy("experience_id").select("surface_form").first()[0]
-    ids = graph.experience_ids_mentioning(one, entities(m), m.mentions, "person")
+    """Experiences that mention a topic by name, by closeness to a vector."""
+    name = m.spark.table("part").where("p_partkey = 1").select("p_name").first()[0]
+    ids = graph.experience_ids_mentioning(name, entities(m), m.mentions, "concept")
     return search.vector_channel(search.candidates(m.experiences, ids=ids), vector(m), 20).select("id", F.round("score", 6).alias("score"))
 
 
@@ -350,8 +317,8 @@ MADE: list[Callable[[Memory], DataFrame]] = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: lambda spark, sf_dir, f=f: f(Memory(configure(spark), sf_dir)) for f in MADE}
+    return {f.__name__: lambda spark, sf_dir, f=f: f(Memory(configure(spark), sf_dir)) for f in [*MADE, *changes.MADE]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(sql) for name, sql in SQL.items()}
+    return {name: oracle(sql) for name, sql in (SQL | changes.SQL).items()}

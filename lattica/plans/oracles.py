@@ -219,7 +219,8 @@ WITH s AS (SELECT m.surface_form AS name, m.experience_id AS x, e.captured_at AS
 r AS (SELECT name, row_number() OVER (ORDER BY t DESC, x) AS k FROM s)
 SELECT name, count(*) AS "count" FROM r GROUP BY name ORDER BY count(*) DESC, min(k) LIMIT 10""",
     "person_topic_search": f"""
-WITH n AS (SELECT surface_form AS s FROM v_mentions WHERE field = 'people' ORDER BY experience_id LIMIT 1),
-ids AS (SELECT DISTINCT m.experience_id AS id FROM v_mentions m JOIN v_entities e ON e.id = m.entity_id JOIN n ON lower(e.canonical_name) = lower(n.s) WHERE e.kind = 'person')
+WITH n AS (SELECT lower(trim(p_name)) AS s FROM part WHERE p_partkey = 1),
+hit AS (SELECT id FROM v_entities WHERE kind = 'concept' AND (lower(trim(canonical_name)) = (SELECT s FROM n) OR lower(trim(alias1)) = (SELECT s FROM n))),
+ids AS (SELECT DISTINCT experience_id AS id FROM v_mentions WHERE entity_id IN (SELECT id FROM hit UNION SELECT id FROM v_entities WHERE merged_into IN (SELECT id FROM hit)))
 SELECT id, round(s, 6) AS score FROM (SELECT id, {cos('embedding', QVEC)} AS s FROM v_experiences WHERE {LIVE} AND embedding IS NOT NULL AND id IN (SELECT id FROM ids)) WHERE s > 0 ORDER BY s DESC, id LIMIT 20""",
 }

@@ -105,3 +105,32 @@ def snapshot(tables: dict[str, DataFrame], path: str) -> DataFrame:
 def orphan_keys(store: DataFrame, blobs: DataFrame, key: str = "object_key") -> DataFrame:
     """Keys of the store that no row knows."""
     return store.select(key).distinct().join(blobs.select(key), key, "left_anti")
+
+
+def refresh(parts: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
+    """Materialise views below ``path``, each in a new folder that its pointer names once all are written.
+
+    Readers that already run keep the old files, so a refresh may overlap with them; a schedule is the caller's.
+    """
+    stamp = uuid.uuid4().hex
+    for name, df in parts.items():
+        df.write.parquet(f"{path}/{stamp}/{name}")
+    spark = next(iter(parts.values())).sparkSession
+    spark.createDataFrame([(stamp,)], "stamp string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    return refreshed(spark, path, list(parts))
+
+
+def refreshed(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    """The views as of the last refresh."""
+    stamp = spark.read.schema("stamp string").json(f"{path}/current").first()["stamp"]
+    return {name: spark.read.parquet(f"{path}/{stamp}/{name}") for name in names}
+
+
+def seed(rows: dict[str, list[dict]], paths: dict[str, str], schemas: dict[str, str], keys: dict[str, list[str]], spark: SparkSession) -> dict[str, int]:
+    """Load fixture rows (table -> rows) into stored tables, each row once however often it is loaded; new rows by table."""
+    counts = {}
+    for name, listed in rows.items():
+        schema = spark.createDataFrame([], schemas[name]).schema
+        made = spark.createDataFrame([tuple(r.get(f) for f in schema.names) for r in listed], schema)
+        counts[name] = append_if_absent(made, paths[name], keys[name]).count()
+    return counts

@@ -268,8 +268,8 @@ def test_visibility_and_patch(spark):
 
 def test_choices_and_resolution(spark):
     options = [{"label": "Yes"}, {"label": "No"}]
-    assert lifecycle.match_choice(options, 1) == 1 and lifecycle.match_choice(options, "yes") == 0 and lifecycle.match_choice(options, {"label": "No"}) == 1
-    for bad in (True, 5, -1, "maybe"):
+    assert lifecycle.match_choice(options, 1) == 1 and lifecycle.match_choice(options, "Yes") == 0 and lifecycle.match_choice(options, {"label": "No"}) == 1
+    for bad in (True, 5, -1, "maybe", "yes", {"value": 1}, None):
         with pytest.raises(ValueError):
             lifecycle.match_choice(options, bad)
     rows = spark.createDataFrame([(1, "pending", None), (2, "applied", None)], "id long, status string, resolved_at timestamp")

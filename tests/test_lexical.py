@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from lattica.functions.lexical import Query, cover_density, lexemes, lexical_channel, stem
@@ -52,3 +54,25 @@ def test_parsing():
     assert intersect_in_order([3, 1, 2, 1], [1, 2], [2, 1, 9]) == [1, 2]
     v = hashing_embedder()("some words here")
     assert sum(x * x for x in v) == pytest.approx(1) and v == hashing_embedder()("some words here") and not any(hashing_embedder()(""))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_covers_match_brute_force(seed):
+    """Every interval in which the query holds and in no part of which it does."""
+    r = random.Random(seed)
+    queries = ["ox cat", "ox or cat dog", '"ox cat" dog', '"ox the cat"', "ox -dog", '"ox ox" cat', "ox cat dog or elk"]
+    for _ in range(40):
+        text = " ".join(r.choice(["ox", "cat", "dog", "elk", "the", "and", "noise"]) for _ in range(r.randint(1, 14)))
+        query, places = Query.parse(r.choice(queries)), lexemes(text)
+        plain = Query([(need, []) for need, _ in query.groups if need])
+        within = lambda a, b: {s: [k for k in at if a <= k <= b] for s, at in places.items()}  # noqa: E731, B023
+        n = len(text.split())
+        whole = [(a, b) for a in range(1, n + 1) for b in range(a, n + 1) if plain.matches(within(a, b))]
+        least = [(a, b) for a, b in whole if not any(a <= c and d <= b and (c, d) != (a, b) for c, d in whole)]
+        want = sum(0.1 / (1 + (b - a) - (sum(len(at) for s, at in within(a, b).items() if s in plain.terms) - 1)) for a, b in least)
+        assert cover_density(query, places) == pytest.approx(want), (text, query)
+
+
+def test_cover_density_of_a_long_text():
+    places = lexemes("fox " * 100_000 + "dog " * 100_000)
+    assert cover_density(Query.parse("fox dog"), places) == pytest.approx(0.1)
