@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
-UPPER = "".join(map(chr, [*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
+#: Classes of characters.
+SYMBOLS, UPPER, STOPS = "[#*$%&|<>]", "[A-Z\u00c0-\u00d6\u00d8-\u00de]", "[.?]"
 WINDOW = 5
 #: Contract counts and style counts, all longs.
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -39,8 +38,8 @@ def settled(column: Column) -> Column:
 
 
 def occurrences(text: Column, characters: str) -> Column:
-    """How many of the text's characters are among these."""
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+    """How many of the text's characters are in this class."""
+    return F.regexp_count(text, F.lit(characters)).cast("long")
 
 
 def neighbours(array: str, field: str) -> Column:
@@ -77,14 +76,14 @@ def with_counts(docs: DataFrame, text_col: str, style: bool = True, repeats: boo
     Without ``repeats`` n_repeat_words, which costs more than all others, is left out.
     """
     df = docs.withColumn("_lattica_t", F.coalesce(F.col(text_col), F.lit("")))
-    df = df.withColumn("_lattica_w", F.regexp_extract_all("_lattica_t", F.lit(WORD), F.lit(0)))
+    df = df.withColumn("_lattica_w", F.array_remove(F.split(F.regexp_replace("_lattica_t", "[\\t-\\r]", " "), " "), ""))
     df = df.withColumn("_lattica_h", F.transform("_lattica_w", lambda x: F.xxhash64(x)))
     df = repeat_words(df) if repeats else df
     text, words = F.col("_lattica_t"), F.col("_lattica_w")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     df = df.withColumns({"_lattica_x": lines}).withColumns({
         named("n_words"): F.size(words).cast("long"),
-        named("word_chars"): F.length(F.translate(text, BLANKS, "")).cast("long"),
+        named("word_chars"): F.length(F.array_join(words, "")).cast("long"),
         named("n_symbols"): occurrences(text, SYMBOLS),
         named("n_dup_lines"): (F.size("_lattica_x") - F.size(F.array_distinct("_lattica_x"))).cast("long"),
     })
@@ -93,9 +92,9 @@ def with_counts(docs: DataFrame, text_col: str, style: bool = True, repeats: boo
         df = df.withColumns({
             named("n_lines"): F.size("_lattica_x").cast("long"),
             named("n_upper"): occurrences(text, UPPER),
-            named("n_stops"): occurrences(text, ".?"),
+            named("n_stops"): occurrences(text, STOPS),
             named("n_bangs"): occurrences(text, "!"),
-            named("n_bars"): occurrences(text, "|"),
+            named("n_bars"): occurrences(text, "[|]"),
             named("n_single"): F.size(F.filter(words, lambda x: F.length(x) == 1)).cast("long"),
             named("n_adjacent"): F.size(F.filter(hashes, lambda x, i: F.coalesce(F.get(hashes, i + 1) == x, F.lit(False)))).cast("long"),
             named("n_distinct"): F.size(F.array_distinct(hashes)).cast("long"),
