@@ -20,6 +20,17 @@ def normalised_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
+#: Bytes of one Arrow batch between the JVM and Python.
+BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, whose rows may be whole texts of any length, where it has no tighter bound itself."""
+    set_now = spark.conf.get(_BATCH)
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(set_now)) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import durable, normalised_words
+from lattica.llm.common import durable, normalised_words, small_batches
 
 WIDTH = 13
 #: A document is contaminated from one hit word in so many.
@@ -113,10 +113,10 @@ def scan(docs: DataFrame, items: list[tuple[str | None, str | None]], text_col:
     """One pass of one automaton over every text. ``_lo_hi`` and ``_items`` hold what earlier shards found."""
     key = hashlib.sha256(repr((width, items)).encode()).hexdigest()
     held = docs.sparkSession.sparkContext.broadcast(items)  # within MAX_PATTERN_BYTES
-    more = "_lo_hi" in docs.columns
-    kept = [f for f in docs.schema.fields if not f.name.startswith("_") or f.name not in ("_lo_hi", "_items")]
+    more = "_lattica_lo_hi" in docs.columns
+    kept = [f for f in docs.schema.fields if not f.name.startswith("_") or f.name not in ("_lattica_lo_hi", "_lattica_items")]
     kept = [f for f in kept if not (drop_text and last and f.name == text_col)]
-    extra = ADDED if last else [T.StructField("_lo_hi", INTERVALS), T.StructField("_items", T.ArrayType(T.StringType()))]
+    extra = ADDED if last else [T.StructField("_lattica_lo_hi", INTERVALS), T.StructField("_lattica_items", T.ArrayType(T.StringType()))]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
     pairs = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
     names = [f.name for f in kept]
@@ -128,8 +128,8 @@ def scan(docs: DataFrame, items: list[tuple[str | None, str | None]], text_col:
         automaton = _built[key]
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
-            before = batch.column(batch.schema.names.index("_lo_hi")).to_pylist() if more else [()] * len(texts)
-            known = batch.column(batch.schema.names.index("_items")).to_pylist() if more else [()] * len(texts)
+            before = batch.column(batch.schema.names.index("_lattica_lo_hi")).to_pylist() if more else [()] * len(texts)
+            known = batch.column(batch.schema.names.index("_lattica_items")).to_pylist() if more else [()] * len(texts)
             rows = []
             for text, lo_hi, ids in zip(texts, before, known, strict=True):
                 words = normalised_words(text)
@@ -150,7 +150,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     Columns of ``docs`` with these names are replaced.
     """
-    docs = docs.drop(*(f.name for f in ADDED), "_lo_hi", "_items")
+    small_batches(docs.sparkSession)
+    docs = docs.drop(*(f.name for f in ADDED))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-int(size) // max_pattern_bytes))

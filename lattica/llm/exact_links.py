@@ -23,7 +23,7 @@ from lattica.llm.shingles import fingerprint, shingles, unite
 from lattica.llm.spread import by_group, spread_join
 
 #: Nodes and shingles of a cluster, or of a block of one, in a task.
-BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
 #: Steps of h by which a large cluster is dealt into blocks, for each |P|.
 STEPS = 64
 #: Pairs of owners of a shingle up to which they are listed; beyond, a column of a matrix product.
@@ -51,7 +51,7 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     (place_a, own_a, n_a, from_a), (place_b, own_b, n_b, from_b) = sides
     pairs = n_a * n_b
     listed = np.flatnonzero((pairs > 0) & (pairs <= LISTED))
-    for part in np.array_split(listed, max(1, int(pairs[listed].sum()) >> 22)):
+    for part in np.array_split(listed, max(1, int(pairs[listed].sum()) >> 19)):
         n = pairs[part]
         which = np.repeat(part, n)
         k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lattica.llm.common import small_batches
 from lattica.llm.block_labeller import Model, label, train
 from lattica.llm.html_blocks import leaves
 
@@ -33,6 +34,7 @@ def standard_model() -> Model:
 
 def extract_text(pages: DataFrame, html_col: str = "html", model: Model | None = None, drop_html: bool = True) -> DataFrame:
     """``pages`` with text, n_chars, n_blocks and n_article_blocks."""
+    small_batches(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(model or standard_model())
     kept = [f for f in pages.schema.fields if f.name not in {a.name for a in ADDED} and not (drop_html and f.name == html_col)]
     names = [f.name for f in kept]

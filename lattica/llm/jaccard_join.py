@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import durable, is_empty
+from lattica.llm.common import durable, is_empty, small_batches
 from lattica.llm.components import components
 from lattica.llm.exact_links import exact_links
 from lattica.llm.shingles import fingerprint, shingles
@@ -317,6 +317,7 @@ def possible(rows: DataFrame, members: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """For every row of ``docs``: id, class_id (the group's smallest id), n_links (other rows at ``similarity`` or more), group and fp (binary; null without words)."""
+    small_batches(docs.sparkSession)
     rows = durable(sketched(docs, id_col, text_col, width), "sketches")
     nodes = durable(
         rows.where(F.col("fp").isNotNull())

@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.llm.bins import pack_lengths
-from lattica.llm.common import durable
+from lattica.llm.common import durable, small_batches
 from lattica.llm.tokens import default_folder, encoder
 
 CAPACITY, END_ID = 1024, 2
+#: Counts by length and partition, of 24 bytes, up to which they are broadcast.
+MAX_BROADCAST = 200_000
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -108,6 +110,7 @@ def place(found: DataFrame, plan: dict[int, tuple[np.ndarray, ...]]) -> DataFram
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_folder: str | None = None, keep_ids: bool = True) -> DataFrame:
     """A row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset and, with ``keep_ids``, ids (binary, little-endian unsigned 32-bit)."""
+    small_batches(docs.sparkSession)
     made = durable(pieces(docs, id_col, text_col, capacity, end_id, tokenizer_folder or default_folder(), keep_ids), "pieces")
     counted = made.groupBy("length", "part").agg(F.count("*").alias("n"))
     counted = durable(counted, "lengths")
@@ -115,6 +118,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     # A window holds one row for each partition.
     before = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     offsets = counted.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = made.join(offsets, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
+    few = counted.count() <= MAX_BROADCAST
+    ranked = made.join(F.broadcast(offsets) if few else offsets.hint("merge"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
     order = [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []), "rank"]
     return place(ranked.select(*order), slots(pack_lengths(histogram, capacity)))

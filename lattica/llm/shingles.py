@@ -9,8 +9,8 @@ import numpy as np
 from lattica.llm.common import normalised_words
 
 WIDTH = 5
-#: Words whose hash one worker keeps, about 100 MB.
-MAX_WORDS = 500_000
+#: Words whose hash one worker keeps, about 40 MB.
+MAX_WORDS = 200_000
 
 
 class WordHashes(dict):

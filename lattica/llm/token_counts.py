@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lattica.llm.common import small_batches
 from lattica.llm.tokens import Encoder, default_folder, encoder, starts
 
 ADDED = [T.StructField("n_tokens", T.LongType()), T.StructField("n_sections", T.LongType()), T.StructField("n_crossing", T.LongType()), T.StructField("section_tokens", T.ArrayType(T.LongType())), T.StructField("section_starts", T.ArrayType(T.LongType()))]
@@ -66,6 +67,7 @@ def token_counts(docs: DataFrame, fields: Sequence[str] = ("text",), joiner: str
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    small_batches(docs.sparkSession)
     fields, folder = list(fields), tokenizer_folder or default_folder()
     docs = docs.drop(*(f.name for f in ADDED))
     kept = [f for f in docs.schema.fields if not (drop_fields and f.name in fields)]
