@@ -46,26 +46,22 @@ def signature(form: str) -> list[int]:
     return [min((a * h + b) % MODULUS for h in hashed) for a, b in coefficients()]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def band_udf(forms: pd.Series) -> pd.Series:
-    """Band keys of all of a row's forms."""
-    rows = PERMUTATIONS // BANDS
-
-    def keys(each: Iterable[str]) -> list[str]:
-        out = set()
-        for form in each:
-            s = signature(form)
-            out.update(f"{b}|{'-'.join(map(str, s[b * rows : (b + 1) * rows]))}" for b in range(BANDS))
-        return sorted(out)
-
-    return forms.map(keys)
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def signature_udf(forms: pd.Series) -> pd.Series:
+    return forms.map(signature)
 
 
 def minhash_keys(rows: DataFrame) -> DataFrame:
-    """The bands are made once for each distinct form, then given to its members."""
+    """Band keys of one signature over all forms of a row.
+
+    The signature of a union of sets is the least of their signatures, place by place, so each distinct form's is made once.
+    """
     members = rows.select("id", "kind", F.explode("forms").alias("form"))
-    bands = members.select("form").distinct().select("form", F.explode(band_udf(F.array("form"))).alias("b"))
-    return members.join(bands, "form").select("id", F.concat_ws("|", F.lit("m"), "kind", "b").alias("key")).distinct()
+    signed = members.select("form").distinct().select("form", signature_udf("form").alias("s"))
+    least = members.join(signed, "form").groupBy("id", "kind").agg(*(F.min(F.col("s")[i]).cast("string").alias(f"s{i}") for i in range(PERMUTATIONS)))
+    width = PERMUTATIONS // BANDS
+    bands = F.array(*(F.concat_ws("|", F.lit("m"), "kind", F.lit(str(b)), F.concat_ws("-", *(f"s{i}" for i in range(b * width, (b + 1) * width)))) for b in range(BANDS)))
+    return least.select("id", F.explode(bands).alias("key"))
 
 
 def candidate_pairs(keys: DataFrame) -> DataFrame:
@@ -124,7 +120,7 @@ def shared_forms(rows: DataFrame) -> DataFrame:
     return forms.join(forms.groupBy("kind", "form").agg(F.count("*").alias("n")).where("n > 1"), ["kind", "form"])
 
 
-def judged_pairs(keys: DataFrame, rows: DataFrame, minhash: bool, flat: bool) -> DataFrame:
+def judged_pairs(keys: DataFrame, rows: DataFrame, flat: bool) -> DataFrame:
     """The candidate pairs that ``plan`` can act on, made from what a score needs instead of from all pairs of a block.
 
     A score needs a shared form or, between persons, comparable forms or a given name within a longer name. Persons that
@@ -132,13 +128,13 @@ def judged_pairs(keys: DataFrame, rows: DataFrame, minhash: bool, flat: bool) ->
     ``QUEUE_CAP + 1`` ids, which is what the greedy cap keeps of it.
     """
     forms, on = shared_forms(rows), ["kind", "form"]
-    if not minhash:  # with it, a shared form is a shared band
-        forms, on = forms.join(keys, "id"), ["kind", "form", "key"]
-    easy = minhash and flat
-    other = forms.where("kind != 'person'") if easy else forms
-    pairs = telling_pairs(keys, rows).union(ordered(other, other, on)).distinct()
-    if easy:
-        pairs, people = durable(pairs, "pairs"), forms.where("kind = 'person'")
+    # A word long enough for a token key makes all that share the form candidates; else another key has to.
+    telling = F.exists(F.split("form", " "), lambda t: F.length(t) >= MIN_TOKEN)
+    whole, faint = forms.where(telling), forms.where(~telling).join(keys, "id")
+    other = whole.where("kind != 'person'") if flat else whole
+    pairs = telling_pairs(keys, rows).union(ordered(other, other, on)).union(ordered(faint, faint, [*on, "key"])).distinct()
+    if flat:
+        pairs, people = durable(pairs, "pairs"), whole.where("kind = 'person'")
         busy = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(people.groupBy("id").count().where("count > 1").select("id")).distinct()
         mixed = people.join(busy, "id", "left_semi").select("form").distinct()
         mixed, alone = people.join(mixed, "form", "left_semi"), people.join(mixed, "form", "left_anti")
@@ -232,7 +228,7 @@ def plan(entities: DataFrame, scorer: str = "default", minhash: bool = True, hel
     rows = named(entities)
     keys = token_keys(rows).union(minhash_keys(rows)) if minhash else token_keys(rows)
     auto, low = (N.FS_AUTO, N.FS_QUEUE) if scorer == "fs" else (N.AUTO_MERGE, N.DISAMBIGUATE)
-    scored = scored_pairs(judged_pairs(keys.distinct(), rows, minhash, scorer == "default"), rows, scorer)
+    scored = scored_pairs(judged_pairs(keys.distinct(), rows, scorer == "default"), rows, scorer)
     same_person = (F.col("ka") == "person") & (F.col("kb") == "person") & F.arrays_overlap("fa", "fb")
     weight = lambda x, n: F.struct(F.size(x), F.length(n))
     left_wins = (weight("xa", "na") > weight("xb", "nb")) | ((weight("xa", "na") == weight("xb", "nb")) & (F.col("a") < F.col("b")))

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from lattica.functions.predicates import all_of, contains, live, since, visible
 from lattica.functions.text import words
-from lattica.functions.vector import distance_to, dot
+from lattica.functions.vector import distance_to
+from lattica.operators.blocked import best_of_blocks, cosines
 from lattica.operators.fusion import CHANNEL, fuse, top_ranked
 
-#: Batch search: parts of the rows, and most queries in a block of them.
-PARTS, BLOCK = 64, 512
 HIT = ["id", "content", "metadata", "captured_at", "occurred_at"]
 
 
@@ -57,21 +56,10 @@ def hybrid(
 
 
 def vector_batch(experiences: DataFrame, queries: DataFrame, n: int = 10, viewer: str | None = None) -> DataFrame:
-    """query_id, id, score, rank for many queries (query_id, embedding) at once.
-
-    The queries are dealt into blocks of about ``BLOCK`` and each block meets each part of the rows, so no task holds all
-    of them; the window keeps ``n`` rows for each before the shuffle.
-    """
+    """query_id, id, score, rank for many queries (query_id, embedding) at once, each with the nearest on its side."""
     pool = candidates(experiences, viewer).where(F.col("embedding").isNotNull()).select("id", "embedding")
-    count = -(-queries.count() // BLOCK) or 1
-    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    norm = lambda x: F.sqrt(dot(F.col(x), F.col(x)))
-    left = pool.select("id", "embedding", norm("embedding").alias("m"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part"), numbers(count).alias("block"))
-    right = queries.select("query_id", F.col("embedding").alias("q"), norm("embedding").alias("n"), F.pmod(F.xxhash64("query_id"), F.lit(count)).alias("block"), numbers(PARTS).alias("part"))
-    met = left.join(right.hint("merge"), ["part", "block"])
-    score = 1 - (1 - F.try_divide(dot(F.col("embedding"), F.col("q")), F.col("m") * F.col("n")))
-    scored = met.select("query_id", "id", score.alias("score")).where(F.col("score") > 0)
-    return top_ranked(scored, F.col("score"), "id", n, "query_id")
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("q"))
+    return best_of_blocks(pool, asked, cosines, n, 0.0)
 
 
 def by_similarity(experiences: DataFrame, embedding: Sequence[float], threshold: float, limit: int, filter: dict | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries and operators that must not leave rows out, against brute force."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -9,7 +10,7 @@ from collections import Counter
 import pytest
 
 from lattica.functions import names as N
-from lattica.operators import dedup, search
+from lattica.operators import blocked, dedup
 from lattica.plans import catalogue
 from lattica.sources.views import Memory
 
@@ -26,16 +27,23 @@ def named(memory):
     return {r.id: r for r in dedup.named(catalogue.entities(memory)).collect()}
 
 
+def signed(forms):
+    """One signature of the grams of all forms together."""
+    grams = {x[i : i + 3] for x in (f" {f} " for f in forms) for i in range(max(1, len(x) - 2))}
+    hashed = [int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") for g in grams]
+    return [min((a * h + b) % ((1 << 61) - 1) for h in hashed) for a, b in dedup.coefficients()]
+
+
 def candidates(rows, minhash):
     blocks = {}
     for r in rows.values():
         for f in r.forms:
             for key in [t for t in f.split() if len(t) >= 3]:
                 blocks.setdefault((r.kind, key), set()).add(r.id)
-            if minhash:
-                s = dedup.signature(f)
-                for b in range(32):
-                    blocks.setdefault((r.kind, b, *s[2 * b : 2 * b + 2]), set()).add(r.id)
+        if minhash and r.forms:
+            s = signed(r.forms)
+            for b in range(32):
+                blocks.setdefault((r.kind, b, *s[2 * b : 2 * b + 2]), set()).add(r.id)
     return {p for ids in blocks.values() for p in itertools.combinations(sorted(ids), 2)}
 
 
@@ -94,7 +102,8 @@ def test_plan_matches_all_pairs(spark, seed, minhash):
     name = lambda: " ".join([r.choice(given), *r.choices(family, k=r.choice([0, 1, 1, 2]))])
     rows = [(f"x{i:02}", "person", name(), r.choice([[], ["VIP"], ["vip", name()]]), None) for i in range(24)]
     rows += [(f"v{i:02}", "person", f"Guest#{i:04}", ["north"], None) for i in range(17)]
-    rows += [(f"k{i:02}", r.choice(["concept", "org"]), r.choice(["graph db", "Graph DB", "graph-db", "ab"]), [r.choice(["tool", "Tool."])], None) for i in range(12)]
+    rows += [(f"w{i:02}", "person", "J P", r.choice([[], ["Al"]]), None) for i in range(9)]
+    rows += [(f"k{i:02}", r.choice(["concept", "org"]), r.choice(["graph db", "Graph DB", "graph-db", "ab", "c d"]), r.choice([[], ["tool"], ["Tool."], ["ab"]]), None) for i in range(12)]
     e = spark.createDataFrame(rows, ENTITY)
     got = {(x.action, x.a, x.b, x.loser, x.winner, x.score) for x in dedup.plan(e, minhash=minhash).collect()}
     assert got == planned({x.id: x for x in dedup.named(e).collect()}, minhash)
@@ -146,7 +155,8 @@ def test_fs_query_holds_every_pair_for_review(spark, memory):
 
 
 def test_vector_batch_in_blocks(spark, memory, monkeypatch):
-    monkeypatch.setattr(search, "BLOCK", 3)
+    monkeypatch.setattr(blocked, "QUERIES", 3)
+    monkeypatch.setattr(blocked, "ROWS", 40)
     got = {}
     for r in catalogue.vector_batch_topk(memory).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.id, r.score))
@@ -163,7 +173,9 @@ def test_vector_batch_in_blocks(spark, memory, monkeypatch):
     assert len(asked) == 10
 
 
-def test_resolve_batch_asks_for_every_kind(spark, memory):
+def test_resolve_batch_asks_for_every_kind(spark, memory, monkeypatch):
+    monkeypatch.setattr(blocked, "QUERIES", 2)
+    monkeypatch.setattr(blocked, "ROWS", 50)
     got = {}
     for r in catalogue.resolve_batch_topk(memory).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.entity_id, r.trgm_score))
@@ -194,8 +206,8 @@ def test_minhash_bands_hold_every_pair(spark, memory):
     for r in catalogue.minhash_blocking_pairs(memory).collect():
         bands.setdefault(r.key, set()).add(r.id)
     for r in named(memory).values():
-        for s in map(dedup.signature, r.forms):
-            for b in range(32):
-                want.setdefault((r.kind, b, *s[2 * b : 2 * b + 2]), set()).add(r.id)
+        s = signed(r.forms)
+        for b in range(32):
+            want.setdefault((r.kind, b, *s[2 * b : 2 * b + 2]), set()).add(r.id)
     assert sorted(map(sorted, bands.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
     assert {i[0] for x in bands.values() for i in x} == {"c", "s", "p"}
