@@ -7,8 +7,7 @@ parent and large ones speak for themselves. The site's posterior then replaces t
 own probability; a document never counts as evidence for itself.
 
 All sums are grouped aggregations with partial sums before the shuffle, so one host may hold any share of the rows; the
-join back is on (host, path) and left to the optimiser, which broadcasts sites only below the session's limit and else
-splits hot hosts.
+join back leaves the rows of large sites, texts and all, where they are and shuffles only those of small ones.
 
 The logistic model is fitted on at most ``max_labels`` labelled documents, taken by a hash of the id, one for each id and
 label; everything else covers all rows.
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import durable
 from lattica.llm.features import count, settled, with_counts
+from lattica.llm.spread import spread_join
 
 MAX_LABELS = 20_000
 THRESHOLD = 0.5
@@ -133,7 +133,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     columns = own.columns
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731 # a null is a site, too
     own = own.withColumns({"_lattica_h": key("host"), "_lattica_p": key("path")})
-    paths = durable(own.groupBy("_lattica_h", "_lattica_p").agg(F.count("*").alias("n"), F.sum("p_document").alias("s")), "paths")
+    own = own.withColumn("_lattica_key", F.concat(F.length("_lattica_h").cast("string"), F.lit(":"), "_lattica_h", "_lattica_p"))
+    paths = durable(own.groupBy("_lattica_key", "_lattica_h").agg(F.count("*").alias("n"), F.sum("p_document").alias("s")), "paths")
     hosts = durable(paths.groupBy("_lattica_h").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "hosts")
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("s").alias("s")).first()
     mean = min(max(total["s"] / total["n"], 1e-6), 1 - 1e-6) if total["n"] else 0.5
@@ -143,10 +144,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     sites = paths.join(of_host, "_lattica_h")
     k_path = strength(mean, sites, F.col("parent"))
     site = F.struct(F.col("_lattica_of.n_host"), F.col("_lattica_of.s_host"), F.col("n").alias("n_path"), F.col("s").alias("s_path"))
-    sites = sites.select("_lattica_h", "_lattica_p", site.alias("_lattica_site"))
+    sites = durable(sites.select("_lattica_key", site.alias("_lattica_site")), "sites")
     of = lambda name: F.col(f"_lattica_site.{name}")
     p = F.col("p_document")
-    out = own.join(sites, ["_lattica_h", "_lattica_p"], "left").withColumn("p_host", (F.lit(k_host * mean) + of("s_host") - p) / (F.lit(k_host - 1) + of("n_host")))
+    out = spread_join(own, sites, "_lattica_key", "left").withColumn("p_host", (F.lit(k_host * mean) + of("s_host") - p) / (F.lit(k_host - 1) + of("n_host")))
     out = out.withColumn("p_path", (F.lit(k_path) * F.col("p_host") + of("s_path") - p) / (F.lit(k_path - 1) + of("n_path")))
     held = F.greatest(F.least(F.col("p_path"), F.lit(1 - 1e-6)), F.lit(1e-6))
     odds = F.log(p / (1 - p)) + F.log(held / (1 - held)) - F.lit(math.log(mean / (1 - mean)))
