@@ -20,7 +20,7 @@ from lattica.llm.html_blocks import Leaf, leaves
 PATH_SIZE, WORD_SIZE, SCALARS, HIDDEN = 256, 32, 10, 24
 SIZE = PATH_SIZE + WORD_SIZE + SCALARS
 PAGES, EPOCHS, BATCH, RATE = 900, 14, 30, 0.01
-#: Blocks of one forward pass; a page of more is read alone, whole.
+#: Blocks of one forward pass; a page of more is read alone, in stretches of so many that pass their states on.
 MAX_BLOCKS = 20_000
 
 
@@ -31,10 +31,11 @@ def bucket(token: str, size: int) -> int:
 _path_buckets: dict[str, int] = {}
 
 
-def vectors(page: Sequence[Leaf]) -> np.ndarray:
+def vectors(page: Sequence[Leaf], first: int = 0, total: int | None = None) -> np.ndarray:
+    """Of the blocks from place ``first`` on of a page of ``total`` blocks."""
+    total = total or len(page)
     x = np.zeros((len(page), SIZE), np.float32)
-    for i, leaf in enumerate(page):
-        row = x[i]
+    for i, (row, leaf) in enumerate(zip(x, page, strict=True), first):
         for token in leaf.path:
             k = _path_buckets.get(token)
             if k is None:
@@ -47,7 +48,7 @@ def vectors(page: Sequence[Leaf]) -> np.ndarray:
         row[PATH_SIZE:s] = np.bincount([bucket(w, WORD_SIZE) for w in words], minlength=WORD_SIZE) / len(words) if words else 0
         n = len(leaf.text)
         ends = leaf.text[-1:] in ".!?…\"”"
-        row[s:] = (np.log1p(n) / 8, leaf.linked / n, n < 40, n > 200, ends, i / len(page), i == 0, i == len(page) - 1, leaf.text.count(",") / n, len(leaf.path) / 12)
+        row[s:] = (np.log1p(n) / 8, leaf.linked / n, n < 40, n > 200, ends, i / total, i == 0, i == total - 1, leaf.text.count(",") / n, len(leaf.path) / 12)
     return x
 
 
@@ -171,10 +172,28 @@ def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 7) -> Model:
     return m
 
 
+def label_long(m: Model, page: Sequence[Leaf]) -> np.ndarray:
+    """As ``label`` for one page, holding the vectors of one stretch and one number for each block."""
+    n, h = len(page), HIDDEN
+    odds = np.full(n, m.c[0], np.float32)
+    for d in range(2):
+        s, c = np.zeros(h, np.float32), np.zeros(h, np.float32)
+        weight = m.v[d * h : (d + 1) * h, 0]
+        for a in range(0, n, MAX_BLOCKS)[:: 1 - 2 * d]:
+            inputs = vectors(page[a : a + MAX_BLOCKS], a, n) @ m.w[d] + m.b[d]
+            for t in range(len(inputs))[:: 1 - 2 * d]:
+                gates = inputs[t] + s @ m.u[d]
+                keep = sigmoid(gates[: 3 * h])
+                c = keep[h : 2 * h] * c + keep[:h] * np.tanh(gates[3 * h :])
+                s = keep[2 * h :] * np.tanh(c)
+                odds[a + t] += s @ weight
+    return odds >= 0
+
+
 def label(m: Model, pages: Sequence[Sequence[Leaf]]) -> list[np.ndarray]:
     """For each page, which of its blocks are article."""
-    out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-    order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
+    out: list[np.ndarray] = [label_long(m, page) if len(page) > MAX_BLOCKS else np.zeros(0, bool) for page in pages]
+    order = sorted((k for k in range(len(pages)) if 0 < len(pages[k]) <= MAX_BLOCKS), key=lambda k: len(pages[k]))
     a = 0
     while a < len(order):
         b = a + 1

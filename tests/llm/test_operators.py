@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import bins, exact_links, jaccard_join, spread, warc
+from lattica.llm import bins, exact_links, jaccard_join, queries, spread, warc
 from lattica.llm.components import components
 from lattica.llm.decontamination import decontaminate
 from lattica.llm.jaccard_join import first_of_groups, near_duplicates
@@ -42,6 +43,22 @@ def test_ids_are_those_of_the_tokenizer():
         assert np.frombuffer(enc.ids(text), "<u4").tolist() == want
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a" + " \t" * 500_000 + "b", "ab" * 500_000, "!?" * 500_000, "7" * 1_000_000, "é" * 500_000], ids=range(7))
+def test_a_million_characters_are_encoded_in_seconds(text):
+    enc = encoder(default_folder())
+    began = time.monotonic()
+    ids = np.frombuffer(enc.ids(text), "<u4")
+    assert time.monotonic() - began < 30 and enc.sizes[ids].sum() == len(text.encode())
+
+
+def test_blanks_do_not_stop_the_operators(spark):
+    df = docs(spark, [" " * 1_000_000, "short"]).withColumns({"part": F.lit("own"), "rank": F.lit("own")})
+    packed = pack(df, keep_ids=False).collect()
+    assert {r.doc_id for r in packed} == {0, 1}
+    counted = token_counts(df, ["text"]).collect()
+    assert {r.doc_id: r.n_tokens for r in counted} == {k: sum(r.length for r in packed if r.doc_id == k) - 1 for k in (0, 1)} and counted[0].part == "own"
+
+
 def test_packing_round_trip(spark):
     r = random.Random(2)
     texts = [*ODD, *(" ".join(words_of(r, r.choice([3, 40, 200, 900]))) for _ in range(40))]
@@ -164,6 +181,10 @@ def test_urls(spark):
         out = judge_urls(df, rule_table(spark, STANDARD), max_broadcast_rules=bound)
         got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in out.collect()}
         assert got == {k: brute(u) for k, u in enumerate([*urls, urls[0]])}
+    deep = [(1, "http://" + "a." * 300_000 + "example.org/es/" + "x/" * 100_000), (2, "http://" + "." * 200_000), (3, "x" * 500_000 + "://b.org/es/")]
+    began = time.monotonic()
+    got = {x.page_id: (x.rule, x.verdict) for x in judge_urls(spark.createDataFrame(deep, "page_id long, url string"), rule_table(spark, STANDARD)).collect()}
+    assert got == {1: ("example.org/es/", "block"), 2: (None, "allow"), 3: ("org/", "allow")} and time.monotonic() - began < 30
     none = judge_urls(df, rule_table(spark, []))
     assert {x.verdict for x in none.collect()} == {"allow"} and judge_urls(df.limit(0), rule_table(spark, STANDARD)).count() == 0
 
@@ -262,6 +283,9 @@ def test_repeated_ids_and_rows(spark):
     assert sorted(x.n_links for x in near_duplicates(df).collect()) == [0, 0, 2, 2, 2]
     assert sorted((x.doc_id, x.text) for x in first_of_groups(df).where("text IS NOT NULL").collect()) == sorted([(1, a), (1, b)])
     assert near_duplicates(df.limit(0)).count() == 0
+    clash = df.selectExpr("*", "'own' AS fp", "'own' AS size", "'own' AS root", "'own' AS weight", "'own' AS path", "'own' AS n", "'own' AS group", "'own' AS rep")
+    kept = first_of_groups(clash).where("text IS NOT NULL").collect()
+    assert len(kept) == 2 and all(set(x[3:]) == {"own"} for x in map(tuple, kept)) and first_of_groups(clash).columns == clash.columns
 
 
 @pytest.mark.parametrize("hot", [3, 1000])
@@ -343,6 +367,36 @@ def test_warc_round_trip_and_audit(spark, tmp_path):
     assert warc.audit(sides["a"], sides["a"].limit(0)).count() == len(a)
 
 
+def test_warc_files_are_bounded_in_bytes(spark, tmp_path):
+    sizes = [10] * 40 + [4000] * 3 + [9000, 20_000]
+    df = spark.createDataFrame([(k, "p" * n) for k, n in enumerate(sizes)], "id long, html string").coalesce(1)
+    warc.write_warc(df.select(warc.record(F.col("id"), F.lit("u"), F.col("html")).alias("r")), "r", str(tmp_path), per_file=8, file_bytes=20_600)
+    leaves = warc.read_warc(spark, str(tmp_path)).collect()
+    files = {f: sum(x.length for x in leaves if x.file == f) for f in {x.file for x in leaves}}
+    assert len(leaves) == len(sizes) and max(files.values()) <= 20_600 and max(Counter(x.file for x in leaves).values()) <= 8
+    assert {f.split("/")[0] for f in files} == {"small", "large"}
+
+
+def test_audit_descends_only_where_it_differs(spark):
+    """One damaged record of 400 files with 40 records: a path of nodes is compared, not the files."""
+    leaves = spark.range(16_000).selectExpr("concat('small/part-', id div 40) AS file", "id % 40 AS seq", "(id % 40) * 10 AS offset", "10L AS length", "string(id) AS record_id", "'u' AS uri", "sha2(string(id), 256) AS digest")
+    damaged = leaves.withColumn("digest", F.when(F.col("record_id") == "7777", F.lit("other")).otherwise(F.col("digest")))
+    compared = []
+    found = warc.audit(leaves, damaged, compared).collect()
+    assert [(x.file, x.seq, x.status) for x in found] == [("small/part-194", 17, "corrupt")]
+    assert compared[0] == 1 and max(compared) <= 40 and sum(compared) < 120
+    same = []
+    assert warc.audit(leaves, leaves, same).count() == 0 and same == [1]
+
+
+def test_warc_of_a_table_with_nulls(spark, tmp_path):
+    sf = tmp_path / "sf"
+    spark.createDataFrame([(None, None, None), (1, "u", None), (1, "u", None), (2, None, "<p>x")], "page_id long, url string, html string").write.parquet(str(sf / "pages.parquet"))
+    got = queries.op7_warc_fixity(spark, str(sf)).collect()
+    assert Counter(x.page_id for x in got) == {None: 1, 1: 2, 2: 1}
+    assert all(x.status == ("corrupt" if hashlib.sha256(str(x.page_id if x.page_id is not None else "").encode()).hexdigest().startswith("00") else "intact") for x in got)
+
+
 def test_warc_parser_keeps_damaged_tails():
     whole = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert [x[1] for x in warc.parse(whole * 2)] == [len(whole)] * 2

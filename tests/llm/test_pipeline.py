@@ -1,8 +1,11 @@
 import re
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from lattica.llm.decontamination import decontaminate
+from lattica.llm.queries import op10_quality_rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +64,37 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_run_packs_what_is_kept(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_a_stage_leaves_other_results_alone(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lazy = op10_quality_rules(spark, SF)
+    first, other = (corpus_pipeline.quality_classifier(spark, docs, SF) for _ in range(2))
+    first.write.parquet(str(tmp_path / "first"))
+    second = corpus_pipeline.quality_rules(spark, spark.read.parquet(str(tmp_path / "first")), SF)
+    assert lazy.count() == docs.count() and other.count() == first_count(spark, tmp_path) and second.count() > 0
+
+
+def first_count(spark, tmp_path):
+    return spark.read.parquet(str(tmp_path / "first")).count()
+
+
+ODD = [
+    (None, None, None, None, None), (1, None, "en", "s0", 0), (2, "", None, None, None), (2, "", None, None, None), (3, "  \n ", "en", "s0", 4), (4, "one two", "en", "s0", 7), (4, "one two", "en", "s0", 7), (None, "one two", "en", "s0", 7),
+    (5, "A quick sentence about something. " * 3, "en", "s1", 99), (6, "word " * 200_000, "en", "s1", 1_000_000), (7, " " * 1_000_000, "en", "s1", 1_000_000),
+]
+
+
+@pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
+def test_stages_on_odd_tables(spark, tmp_path, rows):
+    """Nulls in any column, empty and very long texts, repeated rows, no rows: kept rows are rows of the stage's input."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    before = {hash(tuple(r)) for r in docs.collect()}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        if k < 4:
+            assert out.columns == docs.columns and {hash(tuple(r)) for r in out.collect()} <= before
+        else:
+            assert len({r.doc_id for r in out.collect()}) == len({r[0] for r in rows})
+    kept = corpus_pipeline.ngram_jaccard_join(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in kept if r.text == "one two") == ([4] if rows else [])
