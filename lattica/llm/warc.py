@@ -23,11 +23,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.llm.common import durable, is_empty
+from lattica.llm.features import settled
 
 END = "\r\n\r\n"
 #: Children of a node, as bits of its place.
@@ -61,14 +62,18 @@ def record(record_id: Column, uri: Column, payload: Column) -> Column:
 
 def write_warc(records: DataFrame, column: str, path: str, per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
     """Gzipped WARC files below ``path``/small and ``path``/large, of bounded records and bytes; null records are left out."""
-    own = records.select(F.col(column).alias("value")).where(F.col("value").isNotNull())
-    size, bound = F.octet_length("value"), max(1, file_bytes // per_file)
-    most = own.agg(F.max(size)).first()[0] or 0
-    kinds = [("small", own.where(size <= bound), per_file)]
+    # Worked out once for each row, though the size is asked for, too.
+    own = records.select(settled(F.col(column)).alias("value")).where(F.col("value").isNotNull()).withColumn("size", F.octet_length("value"))
+    bound, seen = max(1, file_bytes // per_file), Observation()
+    small = own.observe(seen, F.max("size").alias("most")).where(F.col("size") <= bound)
+
+    def write(rows: DataFrame, kind: str, n: int) -> None:
+        rows.select("value").write.option("lineSep", END).option("maxRecordsPerFile", n).option("compression", "gzip").text(f"{path}/{kind}")
+
+    write(small, "small", per_file)
+    most = seen.get["most"] or 0
     if most > bound:
-        kinds.append(("large", own.where(size > bound), max(1, file_bytes // most)))
-    for kind, rows, n in kinds:
-        rows.write.option("lineSep", END).option("maxRecordsPerFile", n).option("compression", "gzip").text(f"{path}/{kind}")
+        write(own.where(F.col("size") > bound), "large", max(1, file_bytes // most))
 
 
 _LENGTH = re.compile(rb"\r\nContent-Length: (\d+)", re.I)
