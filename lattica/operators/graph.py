@@ -21,6 +21,14 @@ def survivors(entities: DataFrame) -> DataFrame:
     return entities.select(F.col("id").alias("stored"), F.coalesce("merged_into", "id").alias("survivor"))
 
 
+def held(df: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """``df`` computed once, and whether it has at most ``MAX_BROADCAST`` rows: these stay at hand, more are written."""
+    rows = df.take(MAX_BROADCAST + 1)
+    if len(rows) > MAX_BROADCAST:
+        return durable(df, name), False
+    return df.sparkSession.createDataFrame(rows, df.schema), True
+
+
 def relationships_to(claims: DataFrame, entities: DataFrame, seed: str, max_hops: int = 2, min_confidence: float = 0.0) -> DataFrame:
     """entity_id, canonical_name, kind, hops and confidence of what is within reach of ``seed``.
 
@@ -35,15 +43,16 @@ def relationships_to(claims: DataFrame, entities: DataFrame, seed: str, max_hops
     bound = claims.where((F.col("polarity") != "retracted") & F.col("object_entity_id").isNotNull())
     both = F.array(*(F.struct(F.col(x).alias("stored"), F.col(y).alias("other")) for x, y in (("subject_id", "object_entity_id"), ("object_entity_id", "subject_id"))))
     ends = bound.select(F.explode(both).alias("e"), F.col("confidence").cast("float").alias("claimed")).select("e.*", "claimed")
-    frontier, reached = origin.withColumn("confidence", F.lit(1.0).cast("float")), []
+    (frontier, few), reached = held(origin.withColumn("confidence", F.lit(1.0).cast("float")), "origin"), []
+    origin = frontier.select("node")
     for hop in range(1, max_hops + 1):
-        members = dim.join(frontier, F.col("survivor") == F.col("node")).select("stored", "node", F.col("confidence").alias("so_far"))
-        members = durable(members, "frontier")
-        members = F.broadcast(members) if members.count() <= MAX_BROADCAST else members
+        members = dim.join(F.broadcast(frontier) if few else frontier, F.col("survivor") == F.col("node")).select("stored", "node", F.col("confidence").alias("so_far"))
+        members, narrow = held(members, "frontier")
+        members = F.broadcast(members) if narrow else members
         step = ends.join(members, "stored").withColumn("confidence", (F.col("so_far") * F.col("claimed")).cast("float")).where(F.col("confidence") >= F.lit(min_confidence).cast("float"))
         met = step.select(F.col("node").alias("src"), F.col("other").alias("stored"), "confidence").join(dim, "stored")
         found = met.where(F.col("survivor") != F.col("src")).groupBy(F.col("survivor").alias("node")).agg(F.max("confidence").alias("confidence"))
-        frontier = durable(found.join(origin, "node", "left_anti"), "reached")
+        frontier, few = held(found.join(F.broadcast(origin), "node", "left_anti"), "reached")  # the origin is one row
         reached.append(frontier.withColumn("hops", F.lit(hop)))
     found = reduce(DataFrame.union, reached).groupBy("node").agg(F.min("hops").alias("hops"), F.max("confidence").alias("confidence"))
     names = entities.select(F.col("id").alias("node"), "canonical_name", "kind")
