@@ -1,8 +1,8 @@
 """Quotation linking: chats without quotes, in reply order. Native DataFrame operations only.
 
 1. Leading ``>`` give each line its quote level. Runs of quoted lines of one level are passages.
-2. Quoted lines are normalised (A-Z lower-cased, all but letters and digits dropped) and hashed, and joined to the
-   latest earlier message of the conversation that has the line as its own (level 0). The message that most characters of
+2. Quoted lines are normalised (lower-cased, all but letters and digits dropped) and hashed (128 bits, so that no
+   text is moved), and joined to the latest earlier message of the conversation that has the line as its own (level 0). The message that most characters of
    the outermost linked passages come from is the one replied to.
 3. What is linked goes from the message's own text: the quoted lines that were found, in a message with such lines also
    the quoted lines without letters or digits, and the attribution line right before a line that goes. Quoted lines that
@@ -36,23 +36,35 @@ MAX_ROUNDS = 63
 ADDED = ["own_text", "max_level", "n_passages", "n_quoted_lines", "n_linked_lines", "parent_turn", "branch_depth", "reply_path"]
 
 
-def normalised(line: Column) -> Column:
-    return F.lower(F.regexp_replace(line, r"[^\p{L}\p{N}]+", ""))
+def digest(line: Column) -> Column:
+    """Of a line's lower-cased letters and digits; empty without any. 128 bits stand for the line."""
+    key = F.lower(F.regexp_replace(line, r"[^\p{L}\p{N}]+", ""))
+    return F.when(key == "", F.lit(b"")).otherwise(F.unhex(F.md5(key)))
 
 
-def parsed(messages: DataFrame, text_col: str) -> DataFrame:
-    """``messages`` with _lattica_lines: (level, line without its marks, raw) of each line, and counts of the quoted ones."""
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+def lines_of(text: Column) -> Column:
+    """(level, raw) of each line."""
     level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, MARK, 0), "[^>]", ""))
-    cut = F.transform(lines, lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, MARK, "").alias("line"), x.alias("raw")))
-    df = messages.drop(*ADDED).withColumn("_lattica_lines", cut)
+    # Without any mark there is nothing to look for.
+    return F.transform(F.split(text, "\n"), lambda x: F.struct(F.when(F.contains(x, F.lit(">")), level(x)).otherwise(0).alias("level"), x.alias("raw")))
+
+
+def unmarked(x: Column) -> Column:
+    return F.when(x["level"] > 0, F.regexp_replace(x["raw"], MARK, "")).otherwise(x["raw"])
+
+
+def counted(messages: DataFrame, text_col: str) -> DataFrame:
+    """``messages`` with the counts of quoted lines."""
+    lines = F.when(F.contains(F.col(text_col), F.lit(">")), lines_of(F.col(text_col)))
+    df = messages.drop(*ADDED).withColumn("_lattica_lines", lines)
     at = F.col("_lattica_lines")
     start = lambda x, i: (x["level"] > 0) & (F.coalesce(F.get(at, i - 1)["level"], F.lit(0)) != x["level"])
-    return df.withColumns({
+    counts = {
         "max_level": F.aggregate(at, F.lit(0), lambda a, x: F.greatest(a, x["level"])),
         "n_passages": F.size(F.filter(at, start)),
         "n_quoted_lines": F.size(F.filter(at, lambda x: x["level"] > 0)),
-    })
+    }
+    return df.withColumns({k: F.when(at.isNull(), 0).otherwise(c) for k, c in counts.items()}).drop("_lattica_lines")
 
 
 def last_before(rows: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
@@ -70,41 +82,44 @@ def last_before(rows: DataFrame, keys: list[str], order: str, value: str, name:
 
 
 def known_lines(lines: DataFrame) -> DataFrame:
-    """(c, t, key, n, level, source): the quoted lines of each message, with the latest earlier message that has the line as its own."""
-    usable = lines.where(F.col("key") != "").withColumn("hash", F.xxhash64("key"))
-    quotes = usable.where("level > 0").groupBy("c", "t", "hash", "key").agg(F.min("level").alias("level"), F.count("*").alias("n"))
-    wanted = quotes.select("c", "hash", "key").distinct()
-    originals = usable.where("level = 0").join(wanted, ["c", "hash", "key"], "left_semi").select("c", "t", "hash", "key").distinct()
-    places = originals.withColumn("src", F.col("t")).unionByName(quotes.select("c", "t", "hash", "key").withColumn("src", F.lit(None).cast("long")))
-    places = places.groupBy("c", "t", "hash", "key").agg(F.max("src").alias("src"))
-    known = last_before(places, ["c", "hash", "key"], "t", "src", "source").where(F.col("source").isNotNull()).select("c", "t", "hash", "key", "source")
-    return quotes.join(known, ["c", "t", "hash", "key"]).select("c", "t", "key", "n", "level", "source")
+    """(c, t, key, n, level, size, source): the quoted lines of each message, with the latest earlier message that has the line as its own."""
+    usable = lines.where(F.length("key") > 0)
+    quotes = usable.where("level > 0").groupBy("c", "t", "key").agg(F.min("level").alias("level"), F.count("*").alias("n"), F.first("size").alias("size"))
+    wanted = quotes.select("c", "key").distinct()
+    originals = usable.where("level = 0").select("c", "t", "key").distinct().join(wanted, ["c", "key"], "left_semi")
+    places = originals.withColumn("src", F.col("t")).unionByName(quotes.select("c", "t", "key").withColumn("src", F.lit(None).cast("long")))
+    places = places.groupBy("c", "t", "key").agg(F.max("src").alias("src"))
+    known = last_before(places, ["c", "key"], "t", "src", "source").where(F.col("source").isNotNull()).select("c", "t", "key", "source")
+    return quotes.join(known, ["c", "t", "key"]).select("c", "t", "key", "n", "level", "size", "source")
 
 
 def replied_to(found: DataFrame) -> DataFrame:
     """(c, t, parent) for every message with linked lines."""
     outer = found.groupBy("c", "t").agg(F.min("level").alias("outer"))
-    weights = found.join(outer, ["c", "t"]).where(F.col("level") == F.col("outer")).groupBy("c", "t", "source").agg(F.sum(F.col("n") * F.length("key")).alias("weight"))
+    weights = found.join(outer, ["c", "t"]).where(F.col("level") == F.col("outer")).groupBy("c", "t", "source").agg(F.sum(F.col("n") * F.col("size")).alias("weight"))
     return weights.groupBy("c", "t").agg(F.max(F.struct("weight", "source")).getField("source").alias("parent"))
 
 
-def own_texts(quoting: DataFrame, found: DataFrame) -> DataFrame:
-    """(row, own, n_linked) for the rows (row, c, t, lines) in which a quoted line is linked.
+def gone_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, goes, n_linked) for the rows in which a quoted line is linked: whether each line goes, in order.
 
-    Lines are joined one by one and put together again by message, so a message of any length stays linear.
+    ``lines``: row, c, t, i, level, key and introduces of all lines of quoting messages. No text is moved, and a message of
+    any length stays linear.
     """
-    lines = quoting.select("row", "c", "t", F.posexplode("lines").alias("i", "x"))
-    lines = lines.select("row", "c", "t", "i", "x.level", "x.raw", F.when(F.col("x.level") > 0, normalised(F.col("x.line"))).alias("key"), F.col("x.line").rlike(ATTRIBUTION).alias("introduces"))
     met = lines.join(found.select("c", "t", "key", F.lit(True).alias("known")), ["c", "t", "key"], "left")
+    goes = (F.col("level") > 0) & (F.col("known").isNotNull() | (F.length("key") == 0))
     rows = met.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("i", "level", "raw", ((F.col("level") > 0) & (F.col("known").isNotNull() | (F.col("key") == ""))).alias("goes"), "introduces"))).alias("l"),
-        F.count(F.when(F.col("known"), 1)).alias("n_linked"),
+        F.sort_array(F.collect_list(F.struct("i", goes.alias("goes"), ((F.col("level") == 0) & F.col("introduces")).alias("introduces")))).alias("l"),
+        F.count(F.when((F.col("level") > 0) & F.col("known"), 1)).alias("n_linked"),
     )
-    rows = rows.where("n_linked > 0")
     next_goes = lambda i: F.coalesce(F.get(F.col("l"), i + 1)["goes"], F.lit(False))
-    left = F.filter("l", lambda x, i: ~(x["goes"] | ((x["level"] == 0) & x["introduces"] & next_goes(i))))
-    text = F.array_join(F.transform(left, lambda x: x["raw"]), "\n")
-    return rows.select("row", F.regexp_replace(F.btrim(text, F.lit(" \t\n\x0b\f\r")), r"\n{3,}", "\n\n").alias("own"), "n_linked")
+    return rows.where("n_linked > 0").select("row", F.transform("l", lambda x, i: x["goes"] | (x["introduces"] & next_goes(i))).alias("goes"), "n_linked")
+
+
+def without_quotes(text: Column, goes: Column) -> Column:
+    kept = F.filter(F.zip_with(F.split(text, "\n"), goes, lambda x, g: F.struct(x.alias("line"), g.alias("goes"))), lambda x: ~x["goes"])
+    joined = F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
+    return F.regexp_replace(F.btrim(joined, F.lit(" \t\n\x0b\f\r")), r"\n{3,}", "\n\n")
 
 
 def padded(value: Column) -> Column:
@@ -141,37 +156,45 @@ def link_quotations(messages: DataFrame, conversation_col: str = "conv_id", turn
     ``in_reply_order`` gives the conversations.
     """
     place = {"_lattica_c": F.coalesce(F.concat(F.lit("="), F.col(conversation_col).cast("string")), F.lit("")), "_lattica_t": F.col(turn_col).cast("long")}
-    df = parsed(messages.withColumns(place), text_col)
+    df = counted(messages.withColumns(place), text_col)
     columns = [c for c in df.columns if not c.startswith("_lattica_")]
+    added = [c for c in ADDED if c not in columns]
     own_path, whole = F.coalesce(padded(F.col("_lattica_t")), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
     quotes = (F.col("n_quoted_lines") > 0) & F.col("_lattica_t").isNotNull()
     if is_empty(df.where(quotes)):
         out = df.withColumns({"own_text": whole, "n_linked_lines": F.lit(0).cast("long"), "parent_turn": F.lit(None).cast("long"), "branch_depth": F.lit(0), "reply_path": F.concat(F.lit("/0"), own_path)})
-        return out.select(*columns, *(c for c in ADDED if c not in columns))
+        return out.select(*columns, *added)
     df = durable(df.withColumn("_lattica_row", F.monotonically_increasing_id()), "messages")
-    quoting = df.where(quotes).select(F.col("_lattica_c").alias("c")).distinct()
-    some = df.where("_lattica_t IS NOT NULL").select(F.col("_lattica_c").alias("c"), F.col("_lattica_t").alias("t"), F.col("_lattica_row").alias("row"), F.col("_lattica_lines").alias("lines"), "n_quoted_lines")
-    some = durable(some.join(quoting, "c", "left_semi"), "quoting")
-    lines = some.select("c", "t", F.explode("lines").alias("x")).select("c", "t", "x.level", normalised(F.col("x.line")).alias("key"))
+    turned = df.where("_lattica_t IS NOT NULL").select(F.col("_lattica_c").alias("c"), F.col("_lattica_t").alias("t"), F.col("_lattica_row").alias("row"), F.col(text_col).alias("text"), "n_quoted_lines")
+    quoting = durable(turned.where("n_quoted_lines > 0").select("c").distinct(), "quoting")
+    # What is looked up: a short row for each line of the conversations with quotes.
+    each = turned.select("c", "t", "row", (F.col("n_quoted_lines") > 0).alias("quotes"), F.posexplode(lines_of(F.coalesce("text", F.lit("")))).alias("i", "x"))
+    bare = unmarked(F.col("x"))
+    each = each.select("c", "t", "row", "quotes", "i", "x.level", digest(bare).alias("key"), F.length(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", "")).alias("size"), (F.col("quotes") & bare.rlike(ATTRIBUTION)).alias("introduces"))
+    lines = durable(each.join(quoting, "c", "left_semi"), "lines")
     found = durable(known_lines(lines), "known-lines")
     links = durable(replied_to(found), "quote-links")
-    turns = some.select("c", "t").distinct()
+    rows = lines.where("i = 0").select("row", "c", "t")
+    turns = durable(rows.select("c", "t").distinct(), "turns")
     opened = branches(turns, links)
     # Each message belongs to the last branch opened up to its turn.
     marks = turns.withColumn("u", F.col("t") + 1).select("c", F.col("u").alias("t"), F.lit(None).cast("long").alias("opened")).unionByName(opened.select("c", F.col("start").alias("t"), F.col("start").alias("opened")))
     marks = marks.groupBy("c", "t").agg(F.max("opened").alias("opened"))
     held = last_before(marks, ["c"], "t", "opened", "start").select("c", (F.col("t") - 1).alias("t"), "start")
     places = held.join(opened.select("c", "start", "prefix", "depth"), ["c", "start"]).select("c", "t", "prefix", "depth")
-    known = turns.join(links, ["c", "t"], "left").join(places, ["c", "t"], "left").withColumnsRenamed({"c": "_lattica_c", "t": "_lattica_t", "parent": "_lattica_parent", "prefix": "_lattica_prefix", "depth": "_lattica_depth"})
-    owned = own_texts(some.where("n_quoted_lines > 0").drop("n_quoted_lines"), found).withColumnsRenamed({"row": "_lattica_row", "own": "_lattica_own", "n_linked": "_lattica_n"})
-    out = df.join(known, ["_lattica_c", "_lattica_t"], "left").join(owned, "_lattica_row", "left").withColumns({
-        "own_text": F.coalesce(F.col("_lattica_own"), whole),
-        "n_linked_lines": F.coalesce("_lattica_n", F.lit(0)).cast("long"),
-        "parent_turn": F.col("_lattica_parent"),
-        "branch_depth": F.coalesce("_lattica_depth", F.lit(0)),
-        "reply_path": F.concat(F.coalesce("_lattica_prefix", F.lit("")), F.lit("/0"), own_path),
+    known = links.join(places, ["c", "t"], "full_outer")
+    gone = gone_lines(lines.where("quotes"), found)
+    # One row for each message that is not as it was, so that texts meet them once.
+    changed = rows.join(known, ["c", "t"]).join(gone, "row", "left").select(F.col("row").alias("_lattica_row"), F.struct("parent", "prefix", "depth", "goes", "n_linked").alias("_lattica_of"))
+    of = lambda name: F.col(f"_lattica_of.{name}")
+    out = df.join(changed, "_lattica_row", "left").withColumns({
+        "own_text": F.when(of("goes").isNotNull(), without_quotes(whole, of("goes"))).otherwise(whole),
+        "n_linked_lines": F.coalesce(of("n_linked"), F.lit(0)).cast("long"),
+        "parent_turn": of("parent"),
+        "branch_depth": F.coalesce(of("depth"), F.lit(0)),
+        "reply_path": F.concat(F.coalesce(of("prefix"), F.lit("")), F.lit("/0"), own_path),
     })
-    return out.select(*columns, *(c for c in ADDED if c not in columns))
+    return out.select(*columns, *added)
 
 
 def in_reply_order(linked: DataFrame, conversation_col: str = "conv_id") -> DataFrame:
