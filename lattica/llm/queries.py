@@ -90,15 +90,18 @@ def quoting_replies(chats: DataFrame) -> DataFrame:
     """
     digest = F.sha2(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")), 256)
     digit = lambda i: F.conv(F.substring(digest, i, 1), 16, 10).cast("int")
-    earlier = chats.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    quotes = F.coalesce((digit(1) < 2) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.lit(False))
+    replies = chats.where(quotes).withColumn("outer_turn", F.col("turn") - 1 - digit(2) % 4).withColumn("inner_turn", F.when(digit(3) % 2 == 0, F.col("outer_turn") - 1))
+    # Only what is quoted is looked up, so most texts move once.
+    wanted = replies.select("conv_id", F.explode(F.array("outer_turn", "inner_turn")).alias("turn")).dropna().distinct()
+    earlier = chats.join(wanted, ["conv_id", "turn"], "left_semi").groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
     said = lambda name: earlier.select("conv_id", F.col("turn").alias(f"{name}_turn"), F.col("said").alias(name))
-    df = chats.withColumns({"outer_turn": F.when(digit(1) < 2, F.col("turn") - 1 - digit(2) % 4)})
-    df = df.withColumn("inner_turn", F.when(digit(3) % 2 == 0, F.col("outer_turn") - 1))
-    df = df.join(said("outer"), ["conv_id", "outer_turn"], "left").join(said("inner"), ["conv_id", "inner_turn"], "left")
+    df = replies.join(said("outer"), ["conv_id", "outer_turn"], "left").join(said("inner"), ["conv_id", "inner_turn"], "left")
     marked = lambda text, mark: F.array_join(F.transform(F.split(text, "\n"), lambda x: F.concat(F.lit(mark), x)), "\n")
     nested = F.when(F.col("inner").isNotNull(), F.concat(marked(F.col("inner"), ">> "), F.lit("\n"))).otherwise("")
     quote = F.concat(F.lit("On Monday, somebody wrote:\n"), nested, marked(F.col("outer"), "> "), F.lit("\n\n"), F.coalesce("text", F.lit("")))
-    return df.withColumn("text", F.when(F.col("outer").isNotNull(), quote).otherwise(F.col("text"))).select(*chats.columns)
+    df = df.withColumn("text", F.when(F.col("outer").isNotNull(), quote).otherwise(F.col("text"))).select(*chats.columns)
+    return df.union(chats.where(~quotes))
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
