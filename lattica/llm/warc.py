@@ -68,7 +68,7 @@ def write_warc(records: DataFrame, column: str, path: str, per_file: int = RECOR
     small = own.observe(seen, F.max("size").alias("most")).where(F.col("size") <= bound)
 
     def write(rows: DataFrame, kind: str, n: int) -> None:
-        rows.select("value").write.option("lineSep", END).option("maxRecordsPerFile", n).option("compression", "gzip").text(f"{path}/{kind}")
+        rows.select("value").write.option("lineSep", END).option("maxRecordsPerFile", n).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(f"{path}/{kind}")
 
     write(small, "small", per_file)
     most = seen.get["most"] or 0
