@@ -38,7 +38,8 @@ def relationships_to(claims: DataFrame, entities: DataFrame, seed: str, max_hops
     """
     if not 1 <= max_hops <= MAX_HOPS or not 0 <= min_confidence <= 1:
         raise ValueError(f"max_hops must be 1 to {MAX_HOPS} and min_confidence 0 to 1")
-    dim = durable(survivors(entities), "survivors")
+    known = durable(entities.select(F.col("id").alias("stored"), F.coalesce("merged_into", "id").alias("survivor"), "canonical_name", "kind"), "survivors")
+    dim = known.select("stored", "survivor")
     origin = dim.where(F.col("stored") == seed).select(F.col("survivor").alias("node"))
     bound = claims.where((F.col("polarity") != "retracted") & F.col("object_entity_id").isNotNull())
     both = F.array(*(F.struct(F.col(x).alias("stored"), F.col(y).alias("other")) for x, y in (("subject_id", "object_entity_id"), ("object_entity_id", "subject_id"))))
@@ -55,7 +56,7 @@ def relationships_to(claims: DataFrame, entities: DataFrame, seed: str, max_hops
         frontier, few = held(found.join(F.broadcast(origin), "node", "left_anti"), "reached")  # the origin is one row
         reached.append(frontier.withColumn("hops", F.lit(hop)))
     found = reduce(DataFrame.union, reached).groupBy("node").agg(F.min("hops").alias("hops"), F.max("confidence").alias("confidence"))
-    names = entities.select(F.col("id").alias("node"), "canonical_name", "kind")
+    names = known.select(F.col("stored").alias("node"), "canonical_name", "kind")
     return found.join(names, "node").select(F.col("node").alias("entity_id"), "canonical_name", "kind", "hops", "confidence").orderBy("hops", "canonical_name", "entity_id")
 
 
