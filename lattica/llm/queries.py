@@ -49,9 +49,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections are the lines of the text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts(docs, ["text"], drop_fields=True).select("doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens", "section_starts")
+    """Source, language and text as one document; its sections are the two fields and the lines of the text."""
+    fields = ["source", "lang", "text"]
+    out = token_counts(table(spark, sf_dir, "documents").select("doc_id", *fields), fields, drop_fields=True)
+    return out.select("doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens", "section_starts")
 
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:

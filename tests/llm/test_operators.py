@@ -129,6 +129,26 @@ def test_token_counts_match_offsets(spark, rule):
         assert got[k].section_tokens == want and got[k].n_crossing == crossing and sum(want) == got[k].n_tokens
 
 
+def test_token_count_query_matches_offsets(spark):
+    """The registered query over the whole table, with every token attributed by walking over the bytes."""
+    sf = "/root/testdata/sf0.001"
+    got = {x.doc_id: x for x in queries.op6_token_counts(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    enc = encoder(default_folder())
+    for row in rows:
+        parts = sections([row.source, row.lang, row.text], "\n", True)
+        owner = [k for k, p in enumerate(parts) for _ in p.encode()]
+        want, at, crossing = [0] * len(parts), 0, 0
+        for size in enc.sizes[np.frombuffer(enc.ids("".join(parts)), "<u4")].tolist():
+            want[owner[at]] += 1
+            crossing += owner[at] != owner[at + size - 1]
+            at += size
+        x = got[row.doc_id]
+        assert x.section_tokens == want and x.n_crossing == crossing and x.n_tokens == sum(want) and x.n_sections == len(parts)
+        assert x.section_starts == [sum(map(len, parts[:k])) for k in range(len(parts))]
+    assert len(got) == len(rows)
+
+
 def test_token_counts_of_fields(spark):
     df = spark.createDataFrame([(1, "head", None, "tail x")], "id long, a string, b string, c string")
     row = token_counts(df, ["a", "b", "c"], lines=False).first()
