@@ -295,6 +295,15 @@ def test_recall_is_measured(spark):
     rows = jaccard_join.sketched(docs(spark, texts), "doc_id", "text", 5).where("fp IS NOT NULL").dropDuplicates(["fp"])
     whole = jaccard_join.clusters(rows)
     assert jaccard_join.recall(rows, whole) >= 0.95 and jaccard_join.recall(rows, whole.limit(0)) == 0.0
+    later = components(jaccard_join.ties(rows, 1)).select(F.col("node").alias("fp"), "root")
+    assert jaccard_join.recall(rows, later) >= 0.95
+
+
+def test_runs_are_repeated_until_the_target(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "RECALL", 2.0)
+    monkeypatch.setattr(jaccard_join, "MAX_REPEATS", 2)
+    with pytest.warns(UserWarning, match="after 16 runs"):
+        check_links(spark, near_texts(5, 6, 5))
 
 
 def test_repeated_ids_and_rows(spark):
